@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, packing, url_filter, warc
+from . import exact_dedup, langid, mixing, packing, toxicity, url_filter, warc
 from .workspace import Workspace, table
 
 RULES = [
@@ -34,6 +34,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -82,6 +90,8 @@ def queries() -> dict:
         "op1_mixing": op1_mixing,
         "op3_packing": op3_packing,
         "op4_url_filter": op4_url_filter,
+        "op5_langid": op5_langid,
+        "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_warc": op9_warc,
     }
