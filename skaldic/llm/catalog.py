@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, langid, mixing, packing, toxicity, url_filter, warc
+from . import exact_dedup, langid, mixing, neardup, packing, toxicity, url_filter, warc
 from .workspace import Workspace, table
 
 RULES = [
@@ -85,6 +85,11 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
@@ -94,6 +99,7 @@ def queries() -> dict:
         "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_warc": op9_warc,
+        "op10_neardup": op10_neardup,
     }
 
 
