@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, langid, mixing, neardup, packing, toxicity, url_filter, warc
+from . import ann, exact_dedup, langid, mixing, neardup, packing, toxicity, url_filter, warc
 from .workspace import Workspace, table
 
 RULES = [
@@ -25,6 +25,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -93,6 +97,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op2_ann": op2_ann,
         "op3_packing": op3_packing,
         "op4_url_filter": op4_url_filter,
         "op5_langid": op5_langid,
