@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, exact_dedup, langid, mixing, neardup, packing, toxicity, url_filter, warc
+from . import ann, exact_dedup, langid, mixing, neardup, packing, suffix_dedup, toxicity, url_filter, warc
 from .workspace import Workspace, table
 
 RULES = [
@@ -50,6 +50,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "warc").new_path("archive")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -103,6 +107,7 @@ def queries() -> dict:
         "op5_langid": op5_langid,
         "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_warc": op9_warc,
         "op10_neardup": op10_neardup,
     }
