@@ -11,10 +11,16 @@ one class. Bands of ``BAND`` registers deal classes to buckets.
    likelihood of the registers given both set sizes, and the link is verified
    on the full sets. Linked classes are joined into components.
 2. Only pairs that share a bucket and are still in different components can add
-   anything. All of them are taken, estimated, and verified on the full sets.
-
-The estimate only drops pairs that are more than seven deviations below the limit;
-two sets at the limit of 0.8 share no band with probability under 1e-7.
+   anything. Such a bucket's smallest component label is its centre, and each
+   member meets the centre once, not its bucket mates: a member is written as
+   its difference from the centre, the centre's shingles that it lacks and its
+   own that the centre lacks. From differences to one centre the similarity of
+   any two members is exact, so blocks of members are compared by counting,
+   and only one link per member and component leaves a block.
+
+The estimate only ranks proposals and drops those far below the limit, which
+step 2 takes up again; two sets at the limit of 0.8 share no band with
+probability under 1e-7.
 Components grow by smallest labels over written tables, never on the driver.
 
 Cases: null and empty texts, and texts without words, have no shingles and
@@ -40,7 +46,7 @@ BAND = 4
 BASE = 1.001
 RATE = 20.0
 LEVELS = (1 << 16) - 2
-LEAST_ESTIMATE = 0.55
+LEAST_ESTIMATE = 0.6
 SIMILARITY_PERCENT = 80
 SLICE_BYTES = 2 << 20
 
@@ -177,12 +183,8 @@ def with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY_PERCENT)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, ws: Workspace, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
-
-    Only documents of some pair are read into sets. The pair travels with one
-    set to the other's, so memory holds two sets at a time.
-    """
+def full_sets(wanted: DataFrame, docs: DataFrame, words: int, ws: Workspace, id_col: str, text_col: str) -> DataFrame:
+    """(id, s): the sorted shingle set of each wanted document; other texts are not read into sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,18 +193,130 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, ws: Workspace, id_co
                 sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), sets], ["id", "s"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = ws.keep(texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, s array<long>"), "sets")
+    return ws.keep(texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, s array<long>"), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, ws: Workspace, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    The pair travels with one set to the other's, so memory holds two sets at a time.
+    """
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, words, ws, id_col, text_col)
     one = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     two = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common * 100 >= (F.size("sa") + F.size("sb") - common) * SIMILARITY_PERCENT
-    links = ws.keep(pairs.select("a", "b").join(one, "b").join(two, "a").filter(alike).select("a", "b").distinct(), "links")
+    links = ws.keep(pairs.select("a", "b").join(one, "b").join(two, "a").filter(alike).select("a", "b"), "links")
     ws.drop(sets)
     return links
 
 
+def differences(pairs: DataFrame, docs: DataFrame, words: int, ws: Workspace, id_col: str, text_col: str) -> DataFrame:
+    """``pairs`` (x, c, ...) with ``nc``, ``nx``, ``lacks`` (places in c's sorted set) and ``adds`` (own shingles)."""
+    sets = full_sets(pairs.select(F.explode(F.array("x", "c")).alias("id")).distinct(), docs, words, ws, id_col, text_col)
+    mine = sets.select(F.col("id").alias("x"), F.col("s").alias("sx"))
+    centre = sets.select(F.col("id").alias("c"), F.col("s").alias("sc"))
+    met = pairs.join(mine, "x").join(centre, "c")
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sx, sc = part.column(len(names)), part.column(len(names) + 1)
+                lacks, adds, nx, nc = [], [], [], []
+                for k in range(part.num_rows):
+                    own = sx[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    other = sc[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    lacks.append(np.flatnonzero(~np.isin(other, own, assume_unique=True)).astype("<u4").tobytes())
+                    adds.append(own[~np.isin(own, other, assume_unique=True)].astype("<u8").tobytes())
+                    nx.append(len(own))
+                    nc.append(len(other))
+                cols = [*part.columns[: len(names)], pa.array(nx, pa.int64()), pa.array(nc, pa.int64()), pa.array(lacks, pa.binary()), pa.array(adds, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, [*names, "nx", "nc", "lacks", "adds"])
+
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema], "nx long, nc long, lacks binary, adds binary"])
+    out = ws.keep(met.select(*names, "sx", "sc").mapInArrow(run, schema), "differences")
+    ws.drop(sets)
+    return out
+
+
+def incidence(rows: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """0/1 matrix of which sorted column values each row has."""
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for i, r in enumerate(rows):
+        at = np.searchsorted(columns, r)
+        at = at[(at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == r)] if len(columns) else at[:0]
+        out[i, at] = 1
+    return out
+
+
+def compare_block(table: pa.Table) -> pa.Table:
+    """Links (a, b) between the A members of a block and all its members, one for each label that a member meets.
+
+    Members x and y share nc - |lacks of either| shingles of the centre, and
+    those of their own that both add.
+    """
+    side = np.array(table.column("is_a").to_pylist())
+    ids, label, nx = (table.column(c).to_numpy() for c in ("x", "label", "nx"))
+    nc = int(table.column("nc")[0].as_py())
+    lacks = [np.frombuffer(v, "<u4") for v in table.column("lacks").to_pylist()]
+    adds = [np.frombuffer(v, "<u8") for v in table.column("adds").to_pylist()]
+    first, second = np.flatnonzero(side), np.flatnonzero(~side)
+    out_a, out_b = [], []
+    width = max(16, min(1024, (4 << 20) // max(nc, 1)))
+    for lo in range(0, len(first), width):
+        mine = first[lo : lo + width]
+        places = np.unique(np.concatenate([lacks[i] for i in mine])) if len(mine) else np.zeros(0, np.uint32)
+        own = np.unique(np.concatenate([adds[i] for i in mine]))
+        met: set[tuple[int, int]] = set()
+        for at in range(0, len(second), width):
+            theirs = second[at : at + width]
+            size_x, size_y = nx[mine][:, None], nx[theirs][None, :]
+            missing = incidence([lacks[i] for i in mine], places) @ incidence([lacks[i] for i in theirs], places).T
+            n_x, n_y = (np.array([len(lacks[i]) for i in part]) for part in (mine, theirs))
+            common = nc - n_x[:, None] - n_y[None, :] + missing
+            for k in range(0, len(own), 8192):
+                columns = np.intersect1d(own[k : k + 8192], np.concatenate([adds[i] for i in theirs])) if len(theirs) else own[:0]
+                if len(columns):
+                    common += incidence([adds[i] for i in mine], columns) @ incidence([adds[i] for i in theirs], columns).T
+            common = np.rint(common).astype(np.int64)
+            alike = (common * 100 >= (size_x + size_y - common) * SIMILARITY_PERCENT) & (label[mine][:, None] != label[theirs][None, :])
+            for i, j in zip(*np.nonzero(alike)):
+                key = (int(i), int(label[theirs[j]]))
+                if key not in met:
+                    met.add(key)
+                    out_a.append(int(ids[mine[i]]))
+                    out_b.append(int(ids[theirs[j]]))
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+A_BLOCK, B_BLOCK = 512, 4096
+
+
+def links_across(members: DataFrame, ws: Workspace) -> DataFrame:
+    """Links between members (x, c, label, nx, nc, lacks, adds) of a centre with different labels.
+
+    A members are those outside the centre's commonest label; two members of
+    that label have nothing to find. A and all members are cut into blocks by hash, and each
+    pair of blocks is a group of bounded size.
+    """
+    per_label = members.groupBy("c", "label").agg(F.count("*").alias("n"))
+    main = per_label.groupBy("c").agg(
+        F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n_b"), (F.sum("n") - F.max("n")).alias("n_a")
+    )
+    main = ws.keep(main.filter("n_a > 0").select("c", "main", F.ceil(F.col("n_a") / A_BLOCK).alias("p"), F.ceil(F.col("n_b") / B_BLOCK).alias("q")), "main")
+    known = members.join(main, "c")
+    h = F.xxhash64("x")
+    a = known.filter("label != main").withColumn("i", F.pmod(h, F.col("p"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)))
+    b = known.withColumn("j", F.pmod(h, F.col("q"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)))
+    columns = ["c", "i", "j", "x", "label", "nx", "nc", "lacks", "adds"]
+    both = a.select(*columns, F.lit(True).alias("is_a")).unionByName(b.select(*columns, F.lit(False).alias("is_a")))
+    found = both.groupBy("c", "i", "j").applyInArrow(compare_block, "a long, b long")
+    return ws.keep(found, "across")
+
+
 def components(links: DataFrame, ws: Workspace) -> DataFrame:
     """(node, label): the smallest node of each component, for nodes of some link.
 
@@ -270,15 +384,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
         "labelled",
     )
     ws.drop(shared)
-    torn = ws.keep(labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band"), "torn")
-    still = ws.keep(labelled.join(torn, "band"), "still")
-    other = still.select("band", F.col("rep").alias("b"), F.col("label").alias("other"))
-    across = (
-        still.withColumnRenamed("rep", "a").join(other, "band").filter("a < b and label != other").select("a", "b").distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    rest = ws.keep(estimated(with_registers(across, classes)).filter(F.col("likely") >= LEAST_ESTIMATE).select("a", "b"), "rest")
-    second = verified(rest, docs, words, ws, id_col, text_col)
+    torn = ws.keep(
+        labelled.groupBy("band").agg(F.min("label").alias("c"), F.max("label").alias("y")).filter("c < y").select("band", "c"), "torn"
+    )
+    meeting = ws.keep(labelled.join(torn, "band").select(F.col("rep").alias("x"), "c", "label").distinct(), "meeting")
+    second = links_across(differences(meeting, docs, words, ws, id_col, text_col), ws)
     links = first.unionByName(second)
     final = ws.keep(components(links, ws), "components")
 
