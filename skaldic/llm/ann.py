@@ -7,9 +7,9 @@ each other: a join brings their vectors to the node, and only pairs that beat
 a member's worst neighbour go back to it. In-neighbours of hubs are thinned by
 hash to about ``K``, which is the method's sampling; nothing else is dropped.
 
-A query starts at its own node. Each hop joins the frontier's neighbours,
-scores those not seen before, and expands what has come into the best
-``BEAM``. The best ``RERANK`` are scored again in double precision on the original
+A query starts at its own node. Each hop joins the neighbours of the best
+``EXPAND`` nodes not yet expanded among the best ``BEAM``, and scores those not
+seen before, until the beam is expanded. The best ``RERANK`` are scored again in double precision on the original
 vectors.
 
 Graph vectors are rounded to bytes and get one more component, which makes all
@@ -40,7 +40,9 @@ ROUNDS = 4
 LEAST_GAIN = 0.02
 """Rounds end early when fewer than this part of all neighbours changes."""
 BEAM = 64
-HOPS = 6
+EXPAND = 16
+"""Best unexpanded nodes of a query's beam that one hop expands."""
+HOPS = 10
 RERANK = 64
 
 
@@ -213,8 +215,9 @@ def greedy_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, dim:
         more = ws.keep(fresh, "fresh")
         seen = seen.unionByName(more)
         expanded = frontier if expanded is None else expanded.unionByName(frontier)
-        best = top(seen, "query", BEAM, F.desc("sim"), "node").select("query", "node")
-        frontier = ws.keep(best.join(expanded, ["query", "node"], "left_anti"), "frontier")
+        best = top(seen, "query", BEAM, F.desc("sim"), "node").select("query", "node", "sim")
+        open_nodes = best.join(expanded, ["query", "node"], "left_anti")
+        frontier = ws.keep(top(open_nodes, "query", EXPAND, F.desc("sim"), "node").select("query", "node"), "frontier")
         if frontier.isEmpty():
             break
     return seen
