@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+BLOCK = 1 << 18
 _ROW = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``; a worker outlives its task, so it gives memory back when the task's batches end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets); null texts are empty."""
     if texts.null_count:
@@ -32,34 +54,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, 2**bits of each."""
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, ``BLOCK`` of each; those beyond are products with powers of the last."""
     up, down = np.ones(1, np.uint64), np.ones(1, np.uint64)
     with np.errstate(over="ignore"):
-        step_up, step_down = _BASE, inverse
-        for _ in range(bits):
+        step_up, step_down = _BASE, _INVERSE
+        while len(up) < BLOCK:
             up, down = np.concatenate([up, up * step_up]), np.concatenate([down, down * step_down])
             step_up, step_down = step_up * step_up, step_down * step_down
     return up, down
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(20, int(n).bit_length()))
+def _block_power(base: np.uint64, k: int) -> np.uint64:
+    return np.uint64(pow(int(base), k * BLOCK, 1 << 64))
 
 
 def prefix_sums(buffer: np.ndarray) -> np.ndarray:
     """Sums s with s[j] - s[i], times the base to the power -i, hashing bytes i to j."""
-    up, _ = powers(len(buffer))
+    up, _ = _powers()
+    out = np.zeros(len(buffer) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_ROW[buffer] * up[: len(buffer)], dtype=np.uint64)])
+        for at in range(0, len(buffer), BLOCK):
+            part = _ROW[buffer[at : at + BLOCK]]
+            part *= up[: len(part)]
+            if at:
+                part *= _block_power(_BASE, at // BLOCK)
+            part[0] += out[at]
+            np.cumsum(part, out=out[at + 1 : at + 1 + len(part)])
+    return out
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = powers(len(sums))
+    _, down = _powers()
     with np.errstate(over="ignore"):
-        return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        back = down[starts % BLOCK]
+        if len(sums) > BLOCK:
+            high = np.array([_block_power(_INVERSE, k) for k in range(-(-len(sums) // BLOCK))], np.uint64)
+            back *= high[starts // BLOCK]
+        return mixed((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
 
 
 def word_spans(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .bytestext import hashed_spans, text_bytes
+from .bytestext import hashed_spans, lean, text_bytes
 
 TRAIN_DOCS = 1200
 TRAIN_CHARS = 3000
@@ -36,7 +36,8 @@ HIDDEN = 12
 ROUNDS = 200
 BATCH = 512
 CACHED_WORDS = 300_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+ROWS = 256
 UNDETERMINED = "und"
 
 # ASCII letters are lower-cased; a letter position is one of an ASCII letter or of a byte beyond ASCII.
@@ -312,8 +313,8 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model) if model else None
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                batch = whole.slice(k, 1024)
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
                 texts = batch.column(batch.num_columns - 1)
                 if labeller is None:
                     best, score = np.full(len(texts), -1), np.zeros(len(texts))
@@ -323,7 +324,7 @@ def identify(
                 cols = [*batch.columns[:-1], pa.array(names_out, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "_lang_pred", "_score"])
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(lean(run), schema)
     return out.withColumnsRenamed({"_held_out": "held_out", "_lang_pred": "lang_pred", "_score": "score"})
 
 

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .bytestext import mixed, prefix_sums, span_hashes, text_bytes, word_spans
+from .bytestext import lean, mixed, prefix_sums, span_hashes, text_bytes, word_spans
 from .workspace import Workspace
 
 REGISTERS = 128
@@ -48,7 +48,7 @@ RATE = 20.0
 LEVELS = (1 << 16) - 2
 LEAST_ESTIMATE = 0.6
 SIMILARITY_PERCENT = 80
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(10)
 _MULTIPLY = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,7 +149,7 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, hi long, lo long, regs binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n long, hi long, lo long, regs binary")
 
 
 def band_keys(regs: Column) -> Column:
@@ -172,7 +172,7 @@ def estimated(pairs: DataFrame) -> DataFrame:
             likely = likeliest_similarity((ra > rb).sum(1), (ra < rb).sum(1), na, nb)
             yield pa.RecordBatch.from_arrays([cols["a"], cols["b"], pa.array(likely)], ["a", "b", "likely"])
 
-    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, likely double")
+    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lean(run), "a long, b long, likely double")
 
 
 def with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def full_sets(wanted: DataFrame, docs: DataFrame, words: int, ws: Workspace, id_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), sets], ["id", "s"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return ws.keep(texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, s array<long>"), "sets")
+    return ws.keep(texts.join(wanted, "id", "left_semi").mapInArrow(lean(run), "id long, s array<long>"), "sets")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, ws: Workspace, id_col: str, text_col: str) -> DataFrame:
@@ -237,7 +237,7 @@ def differences(pairs: DataFrame, docs: DataFrame, words: int, ws: Workspace, id
                 yield pa.RecordBatch.from_arrays(cols, [*names, "nx", "nc", "lacks", "adds"])
 
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema], "nx long, nc long, lacks binary, adds binary"])
-    out = ws.keep(met.select(*names, "sx", "sc").mapInArrow(run, schema), "differences")
+    out = ws.keep(met.select(*names, "sx", "sc").mapInArrow(lean(run), schema), "differences")
     ws.drop(sets)
     return out
 
