@@ -10,10 +10,16 @@ regression, fitted to labelled rows, turns them into a score. A word that no
 clause pattern matches counts nothing.
 
 The insult lexicon holds stems with log-odds weights, learned from labelled
-training rows, beside a fixed list. Both fits use a bounded sample: at most
-``TRAIN_DOCS`` labelled rows of each label, those of smallest hash, and of
-equal texts one. Counts of stems are aggregated in Spark; only the best
-``MAX_STEMS`` reach the driver.
+training rows, beside a fixed list. A stem is a word's beginning of ``STEM`` to
+``LONGEST_STEM`` letters or a whole word, marked by a space at its end. It is kept
+if at least ``LEAST_TOXIC`` toxic texts have it, next to no clean ones, and
+chance gives so uneven a split with a probability of at most ``CHANCE``; of stems
+that begin one another the longer is kept only if it weighs more. Both fits use a
+bounded sample: at most ``TRAIN_DOCS`` labelled rows of each label, those of
+smallest hash, and of equal texts one. Of near copies with one label one text
+counts for stems, as they are no evidence of their own. Counts of stems are
+aggregated in Spark; only the best ``MAX_STEMS``, and a sketch of each text of the
+sample, reach the driver.
 
 Cases: null and empty texts have no clauses and get the score of an
 empty text; so does every text if there are no labels. Null labels are not learned from. Repeated rows
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +45,12 @@ from .workspace import Workspace
 TRAIN_DOCS = 3000
 MAX_STEMS = 512
 STEM = 4
+LONGEST_STEM = 10
+LEAST_TOXIC = 4
+CHANCE = 1e-4
+SHINGLE = 3
+HASHES, BAND = 32, 4
+"""Minima of a text's sketch, and of one band; texts that share a band and half of the minima are near copies."""
 THRESHOLD = 0.7
 
 # Words of the grammar's classes.
@@ -137,10 +150,11 @@ class Scanner:
 
         self.machine = grammar()
         self.words = {w: c for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws.split()}
-        self.stems = {w: 3.0 for w in INSULTS.split()} | stems
+        self.stems = {w: 3.0 for w in INSULTS.split()} | {s: w for s, w in stems.items() if not s.endswith(" ")}
+        self.wholes = {s[:-1]: w for s, w in stems.items() if s.endswith(" ")}
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
         self.triggers = ahocorasick.Automaton()
-        for w in [*self.stems, *THREATS.split()]:
+        for w in [*self.stems, *self.wholes, *THREATS.split()]:
             self.triggers.add_word(w, len(w))
         self.triggers.make_automaton()
 
@@ -148,6 +162,9 @@ class Scanner:
         found = self.words.get(word)
         if found:
             return found, 1.0
+        weight = self.wholes.get(word)
+        if weight is not None:
+            return INSULT, weight
         for n in self.lengths:
             weight = self.stems.get(word[:n])
             if weight is not None:
@@ -204,44 +221,101 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return ws.keep(met, "sample")
 
 
+def beginnings(word: str) -> list[str]:
+    """What a word offers as stems: its beginnings, and itself with a space."""
+    return [*(word[:n] for n in range(STEM, min(len(word), LONGEST_STEM) + 1)), word + " "]
+
+
+def sketch(text: str) -> np.ndarray:
+    """Minima of ``HASHES`` hashes over runs of ``SHINGLE`` words; texts with most runs in common share most of them."""
+    rng = np.random.default_rng(6)
+    a, b = (rng.integers(1, 1 << 31, HASHES).astype(np.uint64) for _ in range(2))
+    words = _TOKEN.findall(text.lower())
+    runs = {" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))}
+    hashes = np.array([zlib.crc32(r.encode()) for r in runs], np.uint64)
+    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(hashes), 4096):
+        mixed = hashes[k : k + 4096, None] * (a | np.uint64(1)) + b
+        least = np.minimum(least, ((mixed >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).min(0))
+    return least
+
+
+def near_copies(rows: list[tuple[int, int, bytes]]) -> set[int]:
+    """Of (key, label, sketch): the keys of all but one of each group of near copies with one label."""
+    first: dict[tuple, int] = {}
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    rows = sorted(rows)
+    sketches = [np.frombuffer(r[2], np.uint32) for r in rows]
+    for i, (_, label, _) in enumerate(rows):
+        for k in range(0, HASHES, BAND):
+            j = first.setdefault((label, k, sketches[i][k : k + BAND].tobytes()), i)
+            if j != i and (sketches[i] == sketches[j]).mean() >= 0.5:
+                parent[root(i)] = root(j)
+    return {r[0] for i, r in enumerate(rows) if root(i) != i}
+
+
 def learn_stems(sample: DataFrame) -> dict[str, float]:
-    """Word beginnings that mark toxic texts: common there, and next to absent elsewhere."""
+    """Word beginnings and words that mark toxic texts: next to absent elsewhere, and more often there than by chance."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["key", "label", "sketch"])
+
+    keyed = sample.select(F.xxhash64("text").alias("key"), F.col("label").cast("int").alias("label"), "text")
+    # 128 bytes for each row of the bounded sample.
+    drawn = [tuple(r) for r in keyed.mapInArrow(draw, "key long, label int, sketch binary").collect()]
+    copies = near_copies([(k, y, bytes(s)) for k, y, s in drawn])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
-            for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = set(_WORDS.findall(text.lower()))
-                (toxic if label else clean).update({w[:n] for w in words for n in (STEM, STEM + 1)})
-        keys = [k for k, n in toxic.items() if n]
-        if keys:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([0] * len(keys), pa.int64())],
-                ["stem", "n_toxic", "n_clean"],
-            )
-        keys = list(clean)
+            for key, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key not in copies:
+                    words = set(_WORDS.findall(text.lower()))
+                    (toxic if label else clean).update({s for w in words for s in beginnings(w)})
+        keys = list(toxic | clean)
         if keys:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([0] * len(keys), pa.int64()), pa.array([clean[k] for k in keys], pa.int64())],
+                [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (toxic, clean))],
                 ["stem", "n_toxic", "n_clean"],
             )
 
-    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
+    n = Counter(y for k, y, _ in drawn if k not in copies)
+    n1, n0 = n[1], n[0]
     if not n1 or not n0:
         return {}
-    least = max(4, n1 // 25)
-    rows = (
-        sample.select("text", "label")
-        .mapInArrow(count, "stem string, n_toxic long, n_clean long")
+    toxic, clean, both = F.col("n_toxic"), F.col("n_clean"), F.col("n_toxic") + F.col("n_clean")
+    share = n1 / (n1 + n0)
+    # The bound of Chernoff on the binomial tail.
+    surprise = toxic * F.log(toxic / (both * F.lit(share))) + F.when(clean > 0, clean * F.log(clean / (both * F.lit(1 - share)))).otherwise(0.0)
+    weight = F.log((toxic + 0.5) / F.lit(n1 + 1.0)) - F.log((clean + 0.5) / F.lit(n0 + 1.0))
+    good = Workspace(sample.sparkSession, "stems").keep(
+        keyed.mapInArrow(count, "stem string, n_toxic long, n_clean long")
         .groupBy("stem")
         .agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
-        .filter((F.col("n_toxic") >= least) & (F.col("n_clean") * F.lit(n1) * 50 <= F.col("n_toxic") * F.lit(n0)))
-        .orderBy(F.desc("n_toxic"), "stem")
-        .limit(MAX_STEMS)
-        .collect()
+        .filter((toxic >= LEAST_TOXIC) & (clean * F.lit(n1) * 50 <= toxic * F.lit(n0)) & (surprise >= -math.log(CHANCE)))
+        .select("stem", weight.alias("weight"), surprise.alias("surprise")),
+        "good",
+    )
+    length = F.least(F.length("stem"), F.lit(LONGEST_STEM + 1))
+    shorter = (
+        good.filter(length > STEM)
+        .select("stem", F.col("weight").alias("own"), F.explode(F.transform(F.sequence(F.lit(STEM), length - 1), lambda k: F.substring("stem", F.lit(1), k))).alias("begin"))
+        .join(good.select(F.col("stem").alias("begin"), "weight"), "begin")
+        .filter("weight >= own")
+        .select("stem")
+        .distinct()
     )
-    return {r["stem"]: math.log((r["n_toxic"] + 0.5) / (n1 + 1)) - math.log((r["n_clean"] + 0.5) / (n0 + 1)) for r in rows}
+    rows = good.join(shorter, "stem", "left_anti").orderBy(F.desc("surprise"), "stem").limit(MAX_STEMS).collect()
+    return {r["stem"]: r["weight"] for r in rows}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.02) -> np.ndarray:

@@ -307,6 +307,26 @@ def test_toxicity(spark):
     assert toxicity.score(docs, marks.limit(0)).count() == len(rows) and toxicity.score(docs.limit(0), marks).count() == 0
 
 
+def test_rare_toxic_words_with_common_beginnings_are_learned(spark):
+    rng = random.Random(9)
+    rows, rare = [], ["achkeiter", "bomentecolar"]
+    for i in range(1500):
+        words = [rng.choice(WORDS) for _ in range(30)] + [rng.choice(["achkeitung", "bomentecosa"])]
+        toxic = i % 5 == 0
+        if toxic:
+            words.insert(rng.randrange(30), rare[i // 5 % 2] if i < 100 else "zorken")
+        rows.append((" ".join(words) + f" {i}", int(toxic)))
+    base = ["".join(rng.choice("qxyw") for _ in range(8)) for _ in range(60)]
+    # Near copies of one toxic text are one text's evidence.
+    rows += [(" ".join([*base, rng.choice(WORDS), str(i)]), 1) for i in range(12)]
+    stems = toxicity.learn_stems(spark.createDataFrame(rows, "text string, label int"))
+    scanner = toxicity.Scanner(stems)
+    assert all(scanner.symbol(w)[0] == toxicity.INSULT for w in [*rare, "zorken"])
+    assert all(scanner.symbol(w)[0] == toxicity.OTHER for w in ["achkeitung", "bomentecosa", *base])
+    whole = toxicity.Scanner({"bome ": 4.0})
+    assert whole.features("you bome")[1] > 0 and not whole.features("you bomenteco").any()
+
+
 # --- suffix arrays
 
 def brute_removal(rows):
