@@ -64,7 +64,8 @@ INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target",
 REPORTED, NEGATED, JOINED = "reported ", "negated ", "joined "
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_CLAUSE_END = re.compile(r"[.!?;\n]+(?=\s|\Z)|\n+")
+# Each run of marks is tried once, from its beginning, so that long runs stay linear.
+_CLAUSE_END = re.compile(r"(?<![.!?;\n])[.!?;\n]++(?=\s|\Z)|\n+")
 _WORDS = re.compile(r"[^\W\d_]{%d,}" % STEM)
 
 
@@ -172,19 +173,18 @@ class Scanner:
         return OTHER, 0.0
 
     def clauses(self, low: str) -> Iterator[str]:
-        """The clauses with a trigger at the start of a word, each once."""
-        done = -1
+        """The whole clauses with a trigger at the start of a word, each once."""
+        ends = _CLAUSE_END.finditer(low)
+        begin = stop = after = 0
         for end, n in self.triggers.iter(low):
             at = end - n + 1
-            if at < done or at and low[at - 1].isalpha():
+            if at < stop or at and low[at - 1].isalpha():
                 continue
-            begin = at
-            window = low[max(0, at - 400) : at]
-            marks = list(_CLAUSE_END.finditer(window))
-            begin = max(0, at - 400) + (marks[-1].end() if marks else 0)
-            stop = _CLAUSE_END.search(low, at, at + 400)
-            done = stop.start() if stop else min(len(low), at + 400)
-            yield low[begin:done]
+            while stop <= at:
+                begin = after
+                mark = next(ends, None)
+                stop, after = mark.span() if mark else (len(low), len(low))
+            yield low[begin:stop]
 
     def features(self, text: str | None) -> np.ndarray:
         """Sums over clauses: weight of direct, joined, negated and reported matches, threats; number of clauses."""

@@ -285,6 +285,21 @@ def test_grammar():
     assert f("you grolmak")[1] > f("grolmak")[0]
 
 
+def test_clauses_are_whole():
+    scanner = toxicity.Scanner({"grol": 4.0})
+    f = scanner.features
+    filler = "plain words " * 60
+    # A reporting verb acts to the end of its clause, however far.
+    assert f(f"she said {filler} you grolmak")[:2].sum() == 0 and f(f"she said {filler} you grolmak")[3] > 0
+    assert f(f"she said {filler}. you grolmak")[1] > 0
+    # An insult counts once at any distance from the first, also across the place where a window would end.
+    for n in range(370, 420):
+        text = "grolmak " + "x" * n + " grolmak " + filler + " grolmak"
+        assert f(text)[0] == pytest.approx(math.log1p(3 * 4.0)) and f(text)[5] == pytest.approx(math.log1p(1))
+    assert list(scanner.clauses("a. b grol c!? d\ngrol e...x grol; grol")) == [" b grol c", "grol e...x grol", " grol"]
+    assert list(scanner.clauses("grol" + "." * 200_000 + "x")) == ["grol" + "." * 200_000 + "x"]
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     rows, labels = [], []
