@@ -12,8 +12,9 @@ A query starts at its own node. Each hop joins the neighbours of the best
 seen before, until the beam is expanded. The best ``RERANK`` are scored again in double precision on the original
 vectors.
 
-Graph vectors are rounded to bytes and get one more component, which makes all
-lengths equal so that the nearest are those of largest inner product.
+Graph vectors are rounded to bytes, each on its own scale, and get one more
+component in single precision, which makes all lengths equal so that the nearest
+are those of largest inner product.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do those of another length than the commonest (ties: the
@@ -59,24 +60,40 @@ def top(rows: DataFrame, by: str, n: int, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_r") <= n)
 
 
-def quantised(nodes: DataFrame, largest: float, peak: float, dim: int) -> DataFrame:
-    """(node, q): bytes of each vector and of the component that makes its length ``largest``."""
+def quantised(nodes: DataFrame, largest: float, dim: int) -> DataFrame:
+    """(node, q): each vector over ``largest``, as its scale and lift in single precision and its bytes on that scale."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
-            rest = np.sqrt(np.maximum(largest**2 - (x * x).sum(1), 0))
-            q = np.rint(np.column_stack([x, rest]) * (127 / peak)).clip(-127, 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in q], pa.binary())], ["node", "q"])
+            x = batch.column(1).flatten().to_numpy().reshape(-1, dim) / largest
+            squares = (x * x).sum(1)
+            # What the component that makes all lengths 1 lacks to 1, without cancellation.
+            lift = squares / (1 + np.sqrt(np.maximum(1 - squares, 0)))
+            scale = np.abs(x).max(1) / 127
+            q = np.rint(x / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8)
+            heads = np.column_stack([scale, lift]).astype("<f4")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([h.tobytes() + r.tobytes() for h, r in zip(heads, q)], pa.binary())], ["node", "q"]
+            )
 
     return nodes.select("node", "v").mapInArrow(run, "node long, q binary")
 
 
-def matrix(blobs) -> np.ndarray:
-    joined = b"".join(blobs)
-    return np.frombuffer(joined, np.int8).reshape(len(blobs), -1).astype(np.float32)
+def parts(blobs) -> tuple[np.ndarray, np.ndarray]:
+    """(scale and lift, bytes) of each vector."""
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    return raw[:, :8].copy().view("<f4"), raw[:, 8:].copy().view(np.int8).astype(np.float32)
+
+
+def likeness(blobs) -> np.ndarray:
+    """Inner products with the component for equal lengths, less 1: that component's share is -a - b + ab of the lifts."""
+    head, x = parts(blobs)
+    x *= head[:, :1]
+    lift = head[:, 1:]
+    one = np.ones_like(lift)
+    return np.hstack([x, lift, -lift, one]) @ np.hstack([x, lift, one, -lift]).T
 
 
 def first_lists(vectors: DataFrame, n: int, ws: Workspace) -> DataFrame:
@@ -87,7 +104,7 @@ def first_lists(vectors: DataFrame, n: int, ws: Workspace) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(1).to_pylist())
+            _, x = parts(batch.column(1).to_pylist())
             for tree in range(TREES):
                 planes = np.random.default_rng(100 + tree).standard_normal((x.shape[1], bits)).astype(np.float32)
                 leaf = ((x @ planes > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
@@ -101,11 +118,11 @@ def first_lists(vectors: DataFrame, n: int, ws: Workspace) -> DataFrame:
     part = F.pmod(F.xxhash64("tree", "node"), F.ceil(F.col("size") / LEAF)).alias("part")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["node"].to_numpy(), matrix(list(pdf["q"]))
+        ids = pdf["node"].to_numpy()
         k = min(K, len(ids) - 1)
         if k < 1:
             return pd.DataFrame({"node": [], "nbr": [], "sim": []})
-        s = x @ x.T
+        s = likeness(list(pdf["q"]))
         np.fill_diagonal(s, -np.inf)
         best = np.argpartition(-s, k - 1, axis=1)[:, :k]
         return pd.DataFrame({"node": np.repeat(ids, k), "nbr": ids[best].ravel(), "sim": np.take_along_axis(s, best, 1).ravel()})
@@ -143,11 +160,11 @@ def introduce(graph: DataFrame, vectors: DataFrame, salt: int) -> DataFrame:
             if not len(node):
                 return
             ids, least = rows.column("nbr").to_numpy(), rows.column("worst").to_numpy()
-            x = matrix(rows.column("q").to_pylist())
+            q = rows.column("q").to_pylist()
             edges = [0, *(np.flatnonzero(np.diff(node)) + 1).tolist(), len(node)]
             out_a, out_b, out_s = [], [], []
             for lo, hi in zip(edges, edges[1:]):
-                s = x[lo:hi] @ x[lo:hi].T
+                s = likeness(q[lo:hi])
                 np.fill_diagonal(s, -np.inf)
                 a, b = np.nonzero(s > least[lo:hi, None])
                 out_a.append(ids[lo:hi][a])
@@ -187,7 +204,7 @@ def build_graph(vectors: DataFrame, n: int, ws: Workspace) -> DataFrame:
     return graph
 
 
-def greedy_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, dim: int, ws: Workspace) -> DataFrame:
+def greedy_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, ws: Workspace) -> DataFrame:
     """(query, node, sim): the nodes seen on the way; ``queries`` has the query's own node."""
     links = ws.keep(graph.select("node", "nbr").unionByName(thinned_reverse(graph, 99)).distinct(), "links")
     asked = queries.join(vectors, F.col("query") == F.col("node")).select("query", F.col("q").alias("qq"))
@@ -198,8 +215,9 @@ def greedy_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, dim:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = matrix(batch.column(2).to_pylist()), matrix(batch.column(3).to_pylist())
-            s = np.einsum("ij,ij->i", a[:, :dim], b[:, :dim])
+            # A query's own scale doesn't change its order.
+            (_, a), (head, b) = parts(batch.column(2).to_pylist()), parts(batch.column(3).to_pylist())
+            s = np.einsum("ij,ij->i", a, b) * head[:, 0]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["query", "node", "sim"])
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -244,15 +262,13 @@ def nearest(
     members = ws.keep(nodes.filter("copies = 1").select("node", F.col("node").alias("id")).unionByName(alike), "members")
 
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    stats = nodes.agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.max(F.array_max(F.transform("v", F.abs))).alias("peak"), F.min(norm).alias("low")).first()
+    stats = nodes.agg(F.count("*").alias("n"), F.max(norm).alias("norm")).first()
     n = stats["n"]
-    largest = stats["norm"]
-    peak = stats["peak"] if stats["low"] > largest * (1 - 1e-6) else max(stats["peak"], float(np.sqrt(max(largest**2 - stats["low"] ** 2, 0))))
-    vectors = ws.keep(quantised(nodes, largest, peak, dim), "vectors")
+    vectors = ws.keep(quantised(nodes, stats["norm"], dim), "vectors")
     graph = build_graph(vectors, n, ws)
     wanted = good.filter(F.pmod("id", F.lit(every)) == 0).select("id", "v")
     owners = ws.keep(wanted.join(nodes.select("v", "node"), "v").select(F.col("id").alias("query_id"), "node", "v"), "owners")
-    seen = greedy_search(owners.select(F.col("node").alias("query")).distinct(), graph, vectors, dim, ws)
+    seen = greedy_search(owners.select(F.col("node").alias("query")).distinct(), graph, vectors, ws)
     near = ws.keep(top(seen, "query", RERANK, F.desc("sim"), "node").select("query", "node"), "near")
 
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

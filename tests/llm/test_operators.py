@@ -515,6 +515,18 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_nearest_with_norms_far_apart(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((400, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[[3, 77]] *= 1000
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).toPandas()
+    exact = vectors @ vectors.T
+    np.fill_diagonal(exact, -np.inf)
+    hits = [len(set(np.argsort(-exact[q])[:20]) & set(g["vec_id"])) / 20 for q, g in got.groupby("query_id")]
+    assert len(hits) == 20 and np.mean(hits) >= 0.9
+
+
 # --- bytes
 
 def test_word_hashes():
