@@ -74,14 +74,16 @@ class WordEncoder:
 
     A text of plain characters is the concatenation of its words' ids, and
     those are remembered, up to a bound: when it is reached, what was not used since it
-    last was is forgotten. Any other text goes through the tokenizer as a whole.
+    last was is forgotten. Any other text, and one that holds an added token's
+literal, goes through the tokenizer as a whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = sorted(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.cached = cached
@@ -111,7 +113,7 @@ class WordEncoder:
         for t in texts:
             if not t:
                 yield b""
-            elif _PLAIN.match(t):
+            elif _PLAIN.match(t) and not self.added.search(t):
                 yield b"".join(map(self.known.__getitem__, t.lower().split()))
             else:
                 yield self._encode(t)

@@ -208,6 +208,16 @@ def test_tokens_agree_on_odd_texts():
         assert np.frombuffer(ids, "<u4").tolist() == enc.whole.encode(text or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_are_found_as_in_the_plain_call():
+    from tokenizers import Tokenizer
+
+    path = catalog.tokenizer_path()
+    tok, enc = Tokenizer.from_file(path), packing.WordEncoder(path)
+    texts = ["a note <|endoftext|> here", "x<|startoftext|>y", "é <|endoftext|>", "<|ENDOFTEXT|> a", "< |endoftext|> <|endoftext", "plain words"]
+    for text, ids in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_swaps_save_sequences():
     lengths = np.array([6, 5, 5, 4] * 3 + [7, 3])
     start = [[i] for i in range(len(lengths))]
