@@ -2,57 +2,65 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import LongType
 
 _FIRST = 0x4E00
-_MOST_WORDS = 0xD7FF - _FIRST
+_SURROGATES = 0xD800
+_AFTER_SURROGATES = 0xE000
+_TABLE = 256
+
+
+def _distance(reference: Column, hypothesis: Column) -> Column:
+    """``levenshtein``, spared where the answer is plain: equal sides, or an empty one."""
+    return (
+        F.when(reference == hypothesis, F.lit(0))
+        .when(reference == "", F.char_length(hypothesis))
+        .when(hypothesis == "", F.char_length(reference))
+        .otherwise(F.levenshtein(reference, hypothesis))
+        .cast("long")
+    )
 
 
 def char_edits(reference: Column, hypothesis: Column) -> Column:
     """Unit-cost distance in code points, spaces included."""
-    return F.levenshtein(reference, hypothesis).cast("long")
+    return _distance(reference, hypothesis)
 
 
-def _as_characters(words: Column, alphabet: Column) -> Column:
-    def character(w: Column) -> Column:
-        code = F.hex((F.array_position(alphabet, w) + F.lit(_FIRST)).cast("long"))
-        return F.decode(F.unhex(code), "UTF-16BE")
+def shared_words(reference: Column, hypothesis: Column) -> Column:
+    """The distinct words of both sides, which are the alphabet of their distance."""
+    return F.array_intersect(reference, hypothesis)
 
-    return F.array_join(F.transform(words, character), "")
 
+def _as_characters(words: Column, alphabet: Column, unshared: int) -> Column:
+    """The first places come from a constant table, later ones are computed."""
+    table = F.array(F.lit(chr(unshared)), *[F.lit(chr(_FIRST + i)) for i in range(1, _TABLE)])
 
-@F.pandas_udf(LongType())
-def _long_word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    def one(r, h):
-        if r is None or h is None:
-            return None
-        row = list(range(len(h) + 1))
-        for i, a in enumerate(r, 1):
-            above, row[0] = row[0], i
-            for j, b in enumerate(h, 1):
-                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (a != b))
-        return row[-1]
+    def character(at: Column) -> Column:
+        code = at + F.lit(_FIRST)
+        code = F.when(code < _SURROGATES, code).otherwise(code + F.lit(_AFTER_SURROGATES - _SURROGATES))
+        late = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        return F.when(at < _TABLE, F.get(table, at.cast("int"))).otherwise(late)
 
-    return pd.Series([one(r, h) for r, h in zip(reference, hypothesis, strict=True)], dtype="Int64")
+    # Two steps, so that a word is looked up once however often its place is used.
+    places = F.transform(words, lambda w: F.array_position(alphabet, w))
+    return F.array_join(F.transform(places, character), "")
 
 
-def word_edits(reference: Column, hypothesis: Column) -> Column:
+def word_edits(reference: Column, hypothesis: Column, alphabet: Column) -> Column:
     """Unit-cost distance of two arrays of words.
 
-    The distinct words of a pair are its alphabet; each becomes a character of
-    the basic plane and the strings are compared. Pairs with more distinct
-    words than that plane has free places are few and take the slow path.
+    ``alphabet`` is ``shared_words`` of the two. It must be a column of its own,
+    as an expression would be computed again for every word. Each shared word
+    becomes one character; the words of one side only match nothing, so one
+    character a side does for all of them. A million shared words can be told
+    apart, far beyond what a distance can be computed for.
     """
-    alphabet = F.array_distinct(F.concat(reference, hypothesis))
-    fits = F.size(alphabet) <= _MOST_WORDS
-    fast = F.levenshtein(_as_characters(reference, alphabet), _as_characters(hypothesis, alphabet))
-    return F.when(fits, fast.cast("long"))
-
-
-def word_edits_any_length(reference: Column, hypothesis: Column) -> Column:
-    """``word_edits`` with the slow path for pairs beyond the alphabet."""
-    long_pair = F.size(F.array_distinct(F.concat(reference, hypothesis))) > _MOST_WORDS
-    slow = _long_word_edits(F.when(long_pair, reference), F.when(long_pair, hypothesis))
-    return F.coalesce(word_edits(reference, hypothesis), slow)
+    coded = F.levenshtein(
+        _as_characters(reference, alphabet, _FIRST - 1), _as_characters(hypothesis, alphabet, _FIRST)
+    )
+    return (
+        F.when(reference == hypothesis, F.lit(0))
+        .when(F.size(alphabet) == 0, F.greatest(F.size(reference), F.size(hypothesis)))
+        .otherwise(coded)
+        .cast("long")
+    )

@@ -17,8 +17,9 @@ from .cardinals import cardinal
 
 FORMS = ("NFC", "NFKC", "NFD", "NFKD")
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
-_MARK = "\u0001"
 _WHOLE_NUMBER = re.compile(r"^\d+$")
+# A single space is its own replacement, so only other runs are matched.
+_LOOSE_SPACE = r" [\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85&&[^ ]][\s\p{Z}\x1c-\x1f\x85]*"
 # Fixed value: hesitations, as whole words.
 FILLERS = r"(?U)\b(?:eh+m*|øh+m*|h+m+|m+h+)\b"
 
@@ -34,9 +35,8 @@ def lower(text: Column) -> Column:
 
 def strip_punctuation(text: Column) -> Column:
     """Punctuation and symbols go; an apostrophe between two letters stays, straightened."""
-    kept = F.regexp_replace(text, r"(?<=\p{L})['’](?=\p{L})", _MARK)
-    bare = F.regexp_replace(kept, r"[\p{P}\p{S}]", "")
-    return F.translate(bare, _MARK, "'")
+    bare = F.regexp_replace(text, r"[\p{P}\p{S}&&[^'’]]+|['’](?:(?<!\p{L}['’])|(?!\p{L}))", "")
+    return F.translate(bare, "’", "'")
 
 
 def tokens(text: Column) -> Column:
@@ -45,7 +45,12 @@ def tokens(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return F.array_join(tokens(text), " ")
+    return F.btrim(F.regexp_replace(text, _LOOSE_SPACE, " "), F.lit(" "))
+
+
+def words(text: Column) -> Column:
+    """Words of a text whose white space is collapsed."""
+    return F.array_remove(F.split(text, " "), "")
 
 
 def strip_fillers(text: Column) -> Column:

@@ -39,18 +39,33 @@ def align(references: DataFrame, hypotheses: DataFrame, keys: tuple[str, ...] =
 
 def normalised_pairs(utterances: DataFrame, config: Config) -> DataFrame:
     """Normalised pairs; those whose reference has nothing left are dropped, empty hypotheses stay."""
-    pairs = require_text(utterances).withColumns(
-        {"reference": config.apply(F.col("reference")), "hypothesis": config.apply(F.col("hypothesis"))}
+    columns = utterances.columns
+    return _normal_forms(utterances, [config], [c for c in columns if c not in ("reference", "hypothesis")]).select(*columns)
+
+
+def _normal_forms(utterances: DataFrame, configs: list[Config], keys: list[str]) -> DataFrame:
+    """``keys``, config, reference, hypothesis: a pair under every config.
+
+    The pairs pass a generator, as the filter would otherwise be pushed below
+    and normalise every reference a second time.
+    """
+    checked = require_text(utterances)
+    forms = F.array(
+        *[F.struct(F.lit(c.name).alias("config"), c.apply(F.col("reference")).alias("reference"), c.apply(F.col("hypothesis")).alias("hypothesis")) for c in configs]
     )
-    return pairs.filter(F.col("reference") != "")
+    return checked.select(*keys, forms.alias("_forms")).select(*keys, F.inline_outer("_forms")).filter(F.col("reference") != "")
 
 
 def utterance_word_edits(pairs: DataFrame) -> DataFrame:
     """``word_edits`` and ``n_words`` of each pair of normalised texts."""
-    r, h = T.tokens(F.col("reference")), T.tokens(F.col("hypothesis"))
-    return pairs.withColumns({"_r": r, "_h": h}).withColumns(
-        {"word_edits": edit.word_edits_any_length(F.col("_r"), F.col("_h")), "n_words": F.size("_r").cast("long")}
-    ).drop("_r", "_h")
+    sides = pairs.withColumns({"_r": T.words(F.col("reference")), "_h": T.words(F.col("hypothesis"))})
+    return (
+        sides.withColumn("_both", edit.shared_words(F.col("_r"), F.col("_h")))
+        .withColumns(
+            {"word_edits": edit.word_edits(F.col("_r"), F.col("_h"), F.col("_both")), "n_words": F.size("_r").cast("long")}
+        )
+        .drop("_r", "_h", "_both")
+    )
 
 
 def utterance_char_edits(pairs: DataFrame) -> DataFrame:
@@ -117,14 +132,8 @@ def row_mean(names: list[str]) -> Column:
 
 
 def rescore(utterances: DataFrame, configs: list[Config], *keys: str) -> DataFrame:
-    """Rates of saved outputs under each config: one branch of the plan per config, no join."""
-    parts = [
-        corpus_rates(normalised_pairs(utterances, c), *keys).withColumn("config", F.lit(c.name)) for c in configs
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rates of saved outputs under each config. The outputs are read once: a row becomes one pair a config."""
+    return corpus_rates(_normal_forms(utterances, configs, list(keys)), *keys, "config")
 
 
 def delta(new: DataFrame, old: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import naming, text as T
 from ..operators import backends, board, outputs, scoring
 from ..sources import readers, writers
-from ..sources.readers import table
+from ..sources.readers import spread, table
 
 WORDS_PER_UTTERANCE = 40
 MODELS = ("m_identity", "m_format", "m_drop", "m_sub", "m_empty")
@@ -23,9 +23,12 @@ PLAIN = scoring.Config(None, number_words=False, name="plain")
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset, id, ordinal, reference): every word of every document, forty at a time."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"), T.tokens(F.col("text")).alias("w"))
-    last = F.greatest(F.ceil(F.size("w") / WORDS_PER_UTTERANCE) - 1, F.lit(0))
-    cut = docs.filter(F.size("w") > 0).withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = texts.select("doc_id", F.col("lang").alias("dataset"), T.tokens(F.col("text")).alias("w"))
+    last = F.ceil(F.size("w") / WORDS_PER_UTTERANCE) - 1
+    # A document without words gives no row, without a filter that would cut every text twice.
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0))))
+    cut = docs.withColumn("ordinal", F.explode(places))
     start = (F.col("ordinal") * WORDS_PER_UTTERANCE + 1).cast("int")
     return cut.select(
         "dataset",
@@ -128,7 +131,7 @@ def turn_pair_wer(spark, sf_dir):
 # --- normaliser
 
 def normalise_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", PLAIN.apply(F.col("text")).alias("normalised"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", PLAIN.apply(F.col("text")).alias("normalised"))
 
 
 def number_separator_strip(spark, sf_dir):

@@ -195,3 +195,17 @@ def wav_seconds(content: pd.Series) -> pd.Series:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt over the tasks by ``keys`` where the scan itself makes too few.
+
+    A scan hands out at most a split of bytes a task, but at least a row group,
+    so a small file is one task however many cores wait. Input of a split or
+    more for every core is spread by its scan and isn't shuffled.
+    """
+    spark = rows.sparkSession
+    scanned = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if scanned < cores * split else rows

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skaldic.functions import edit, rounding, text as T
+from skaldic.functions import edit, rounding
 from skaldic.operators import scoring
 
 PLAIN = scoring.Config(None, number_words=False)
@@ -30,14 +30,31 @@ def test_distances_agree_with_dynamic_programming(spark):
     rng = random.Random(1)
     words = ["a", "b", "å", "øl", "blåbær", "𝒳", "c'd"]
     rows = [tuple(" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(2)) for _ in range(200)] + [("blåbær", "blabar")]
-    got = pairs(spark, rows).select(
-        "id", edit.word_edits_any_length(T.tokens(F.col("reference")), T.tokens(F.col("hypothesis"))).alias("w"), edit.char_edits(F.col("reference"), F.col("hypothesis")).alias("c")
+    got = scoring.utterance_char_edits(scoring.utterance_word_edits(pairs(spark, rows))).select(
+        "id", F.col("word_edits").alias("w"), F.col("char_edits").alias("c")
     ).collect()
     for r in got:
         a, b = rows[int(r["id"])]
         assert (r["w"], r["c"]) == (distance(a.split(), b.split()), distance(a, b))
 
 
+def test_words_beyond_the_basic_plane(spark):
+    """Places before, between and after the surrogates are distinct characters; unshared words are one."""
+    alphabet = [f"w{i}" for i in range(60_000)]
+    picked = ["w0", "w35839", "w35840", "w35841", "w59999", "x", "y"]
+    rows = spark.createDataFrame([(picked, alphabet)], "w array<string>, b array<string>")
+    coded = rows.select(edit._as_characters(F.col("w"), F.col("b"), 0x4DFF).alias("c")).first()["c"]
+    assert len(coded) == 7 and len(set(coded)) == 6 and coded[5] == coded[6]
+
+
+def test_rescore_reads_its_input_once(spark):
+    rows = pairs(spark, [("øh a b", "a b"), ("c", "c d")])
+    plain, fillers = scoring.Config("NFC", name="plain"), scoring.Config("NFKC", filler_words=True, name="fillers")
+    out = scoring.rescore(rows, [plain, fillers], "dataset")
+    got = {r["config"]: (round(r["wer"], 3), round(r["cer"], 3)) for r in out.collect()}
+    assert got == {"plain": (50.0, 71.429), "fillers": (33.333, 50.0)}
+
+
 def test_corpus_rate_is_a_ratio_of_sums(spark):
     assert wer(spark, [("a", "b"), ("a b c d", "a b c d")])["wer"] == 20.0
 

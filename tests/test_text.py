@@ -56,6 +56,10 @@ def test_unknown_form(spark):
         T.normalise(F.col("t"), unicode="NFKZ")
 
 
+def test_control_characters_are_no_marks(spark):
+    check(spark, [("a\u0001b d'e", "a\u0001b d'e"), ("\u0001'", "\u0001")], unicode="NFC", numbers=False)
+
+
 def test_null_stays_null(spark):
     rows = spark.createDataFrame([(None,)], "t string").select(T.lower(T.unicode_form(F.col("t"), "NFD")).alias("n"))
     assert rows.first()["n"] is None
