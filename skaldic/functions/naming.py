@@ -24,6 +24,13 @@ PROVIDER_DOCS = {
     "azure": "https://learn.microsoft.com/azure/ai-services/openai/concepts/models",
     "syv-transcribe": "https://syv.ai",
 }
+# Substrings of names of hosted models and their logos, in order of precedence.
+PROVIDER_LOGOS = {
+    "scribe_v": "https://elevenlabs.io/_next/image?url=https%3A%2F%2Feleven-public-cdn.elevenlabs.io%2Fpayloadcms%2Felevenlabs-official-logo-11-icon.webp&w=1920&q=95",
+    "syv-transcribe": "https://syv.ai/_next/image?url=%2F7.png&w=256&q=75",
+}
+# Hosted models whose maker has an organisation with an avatar.
+PROVIDER_ORGANISATIONS = {"gpt-4o": "openai"}
 # Sizes in billions of parameters that neither the name nor the weights tell.
 OFFICIAL_SIZE = {
     "syvai/hviske-v5": 2.0,
@@ -91,6 +98,21 @@ def first_substring(name: Column, table: dict[str, str]) -> Column:
     return out
 
 
+def logo(name: Column, avatars: dict[str, str]) -> Column:
+    """The avatar of a repository's organisation; of a hosted model its provider's logo, else its maker's avatar. Else empty."""
+
+    def avatar(org: Column) -> Column:
+        out = F.lit("")
+        for key, url in avatars.items():
+            out = F.when(org == key, F.lit(url)).otherwise(out)
+        return out
+
+    hosted = F.coalesce(
+        F.nullif(first_substring(name, PROVIDER_LOGOS), F.lit("")), avatar(first_substring(name, PROVIDER_ORGANISATIONS))
+    )
+    return F.when(F.contains(name, F.lit("/")), avatar(organisation(name))).otherwise(hosted)
+
+
 def number_or_null(value: Column) -> Column:
     """A double at two places; null for what is not a number."""
     return exact_round(F.nanvl(value.try_cast("double"), F.lit(None).cast("double")), 2)
@@ -129,6 +151,32 @@ def submitted_day(submitted: Column) -> Column:
     return F.coalesce(F.substring(submitted, 1, 10), F.lit(""))
 
 
+def today_iso() -> Column:
+    return F.date_format(F.current_date(), "yyyy-MM-dd")
+
+
+def text_of(text: Column) -> Column:
+    """A hypothesis as text: stripped, empty for none."""
+    from .text import python_strip
+
+    return python_strip(F.coalesce(text, F.lit("")))
+
+
+def joined_segments(segments: Column) -> Column:
+    """Texts of segments, each stripped, joined by a space."""
+    from .text import python_strip
+
+    return python_strip(F.coalesce(F.array_join(F.transform(segments, lambda s: python_strip(s)), " "), F.lit("")))
+
+
+def joined_alternatives(results: Column) -> Column:
+    """The first alternative of each result that has one, joined by a space. results: array of arrays of text."""
+    from .text import python_strip
+
+    firsts = F.transform(F.filter(results, lambda r: F.size(r) > 0), lambda r: F.coalesce(r[0], F.lit("")))
+    return python_strip(F.coalesce(F.array_join(firsts, " "), F.lit("")))
+
+
 def joined_chunks(chunks: Column, text: Column) -> Column:
     """Texts of segments joined by a space, else the whole text, stripped."""
     from .text import python_strip

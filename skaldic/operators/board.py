@@ -58,8 +58,27 @@ def exclude(results: DataFrame, organisations: set[str], models: set[str], cell:
     return results.filter(~F.coalesce(excluded(naming.link_name(F.col(cell)), organisations, models), F.lit(False)))
 
 
-def board(results: DataFrame, metric: str, metrics: list[str], overrides: dict[str, float] | None = None) -> DataFrame:
-    """Rows with the metric, ranked and decorated. A repository keeps its own link; a hosted model gets its documentation's."""
+def excluded_count(results: DataFrame, organisations: set[str], models: set[str], cell: str = "model") -> DataFrame:
+    """One row: how many rows ``exclude`` drops."""
+    gone = F.coalesce(excluded(naming.link_name(F.col(cell)), organisations, models), F.lit(False))
+    return results.agg(F.count_if(gone).alias("n_excluded"))
+
+
+def origin_counts(remote: DataFrame, local: DataFrame, key: str = "file") -> DataFrame:
+    """One row: files in all, local ones, and those that only the remote side has."""
+    both = overlay(remote.select(key), local.select(key), key)
+    return both.agg(
+        F.count("*").alias("n_files"), F.count_if(F.col("origin") == "local").alias("n_local"), F.count_if(F.col("origin") == "remote").alias("n_remote_only")
+    )
+
+
+def board(
+    results: DataFrame, metric: str, metrics: list[str], overrides: dict[str, float] | None = None, avatars: dict[str, str] | None = None
+) -> DataFrame:
+    """Rows with the metric, ranked and decorated. A repository keeps its own link; a hosted model gets its documentation's.
+
+    ``avatars`` has the logo of each organisation, as no network is asked.
+    """
     rows = nan_to_null(results).dropna(subset=[metric])
     name = naming.link_name(F.col("model"))
     rows = rows.withColumns({"name": name, "_url": naming.link_url(F.col("model"))})
@@ -68,6 +87,7 @@ def board(results: DataFrame, metric: str, metrics: list[str], overrides: dict[s
         "rank",
         "name",
         F.when(is_repo, F.col("_url")).otherwise(naming.first_substring(F.col("name"), naming.PROVIDER_DOCS)).alias("url"),
+        naming.logo(F.col("name"), avatars or {}).alias("logo"),
         F.coalesce("access", F.lit("open")).alias("access"),
         naming.official_size(F.col("name"), F.col("params_b"), overrides).alias("size"),
         naming.submitted_day(F.col("submitted")).alias("submitted"),

@@ -99,6 +99,27 @@ def corpus_rates(pairs: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, rate(F.col("we"), F.col("nw")).alias("wer"), rate(F.col("ce"), F.col("nc")).alias("cer"))
 
 
+def compute_wer(references: Column, hypotheses: Column) -> Column:
+    """Corpus word error rate of two columns of normalised texts, as an aggregate; unrounded. Empty references don't count."""
+
+    def edits(r: Column, h: Column) -> Column:
+        # The alphabet is bound as a lambda's argument, so that it is computed once a pair.
+        return F.transform(F.array(edit.shared_words(r, h)), lambda both: edit.word_edits(r, h, both))[0]
+
+    return _corpus_rate(references, hypotheses, T.words, edits, F.size)
+
+
+def compute_cer(references: Column, hypotheses: Column) -> Column:
+    """The same in characters, spaces included."""
+    return _corpus_rate(references, hypotheses, lambda c: c, edit.char_edits, F.char_length)
+
+
+def _corpus_rate(references, hypotheses, cut, edits, size) -> Column:
+    counts = F.trim(references) != ""
+    r, h = cut(references), cut(F.coalesce(hypotheses, F.lit("")))
+    return rate(F.sum(F.when(counts, edits(r, h))), F.sum(F.when(counts, size(r)).cast("long")))
+
+
 def published(rates: DataFrame) -> DataFrame:
     """Rates as published: at two places."""
     return rates.withColumns({"wer": exact_round(F.col("wer"), 2), "cer": exact_round(F.col("cer"), 2)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import wave
 from collections.abc import Callable
 
@@ -12,17 +13,60 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.naming import first_non_blank
 from ..functions.text import python_strip
-from . import schemas
+from . import schemas, storage
 
 
-def _stem(suffix: str) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), rf"(.*)\.{suffix}$", 1)
+def file_order() -> Column:
+    """Sorts rows of text files as they stand: by file, split and place, however Spark packs splits into tasks."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
 
 
 def read_raw_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of one data set per file; the data set is the file's stem. Bad lines fail."""
-    rows = spark.read.schema(schemas.RAW_OUTPUT).option("mode", "FAILFAST").json(path)
-    return rows.select(_stem("jsonl").alias("dataset"), "id", "reference", "hypothesis")
+    """(model, dataset, id, reference, hypothesis) of a folder of raw outputs, or of the files of a glob. Bad lines fail.
+
+    Either layout: folders by model and data set as ``write_raw_outputs`` makes
+    them, or JSON lines whose stem is the data set, in a folder per model.
+    """
+    read = spark.read.option("mode", "FAILFAST")
+    if storage.glob(spark, f"{path}/model=*"):
+        rows = read.option("basePath", path).schema(f"{schemas.RAW_OUTPUT}, model string, dataset string").json(path)
+    else:
+        files = storage.glob(spark, f"{path}/*.jsonl") or storage.glob(spark, path)
+        rows = read.schema(schemas.RAW_OUTPUT).json(files)
+        names = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1), F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.jsonl$", 1)
+        rows = rows.withColumns({"model": F.url_decode(names[0]), "dataset": F.url_decode(names[1])})
+    return rows.select("model", "dataset", "id", "reference", "hypothesis")
+
+
+def read_outputs_folder(spark: SparkSession, folder: str, model: str = "") -> DataFrame | None:
+    """(model, dataset, id, reference, hypothesis) of every source below ``folder``, or of one model; None if there is none.
+
+    Sources are combined files ``<slug>.jsonl`` and folders of JSON lines.
+    """
+    from ..operators.outputs import layouts
+
+    slug = slug_of(model) if model else "*"
+    files = storage.glob(spark, f"{folder}/{slug}.jsonl")
+    folders = storage.glob(spark, f"{folder}/{slug}/*.jsonl")
+    parted = storage.glob(spark, f"{folder}/model={slug}")
+    parts = []
+    if files:
+        rows = spark.read.schema(schemas.COMBINED).option("mode", "FAILFAST").json(files)
+        stem = F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.jsonl$", 1))
+        parts.append(combined_aliases(rows.withColumn("model", stem), "model"))
+    if folders or parted:
+        rows = read_raw_outputs(spark, folder) if parted else read_raw_outputs(spark, f"{folder}/{slug}/*.jsonl")
+        parts.append(rows.filter(F.col("model") == slug) if model else rows)
+    if len(parts) == 2:
+        return layouts(parts[0], parts[1], one_model=bool(model))
+    return parts[0] if parts else None
+
+
+def slug_of(name: str) -> str:
+    """``naming.slugify`` of a name at hand."""
+    return re.sub("[^a-zA-Z0-9_-]", "__", name.strip("/"))
 
 
 def read_combined(spark: SparkSession, path: str) -> DataFrame:
@@ -30,11 +74,11 @@ def read_combined(spark: SparkSession, path: str) -> DataFrame:
     return combined_aliases(spark.read.schema(schemas.COMBINED).option("mode", "FAILFAST").json(path))
 
 
-def combined_aliases(rows: DataFrame) -> DataFrame:
+def combined_aliases(rows: DataFrame, *more: str) -> DataFrame:
     def either(a: str, b: str) -> Column:
         return F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
 
-    return rows.select(either("dataset", "set").alias("dataset"), either("id", "audio").alias("id"), "reference", "hypothesis")
+    return rows.select(*more, either("dataset", "set").alias("dataset"), either("id", "audio").alias("id"), "reference", "hypothesis")
 
 
 def read_manifest(spark: SparkSession, path: str, audio: DataFrame | None = None) -> DataFrame:
@@ -51,7 +95,7 @@ def existing_files(rows: DataFrame, audio: DataFrame, column: str = "audio_path"
 def read_external_manifest(spark: SparkSession, path: str, cap: int = 0, audio: DataFrame | None = None) -> DataFrame:
     """Rows with a path and text, text stripped; the cap counts what is left. (ordinal, audio_path, reference_text)"""
     rows = spark.read.schema(schemas.EXTERNAL_MANIFEST).option("mode", "FAILFAST").json(path)
-    rows = rows.withColumn("ordinal", F.monotonically_increasing_id())
+    rows = rows.withColumn("ordinal", file_order())
     kept = rows.select("ordinal", F.col("audio_filepath").alias("audio_path"), python_strip(F.col("text")).alias("reference_text"))
     kept = kept.filter("audio_path != '' and reference_text != ''")
     if audio is not None:
@@ -109,26 +153,76 @@ def load_or_skip(loaders: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str,
     return good, bad
 
 
+def load_dataset(spark: SparkSession, selector: str, source: str, cache: str, cap: int = 0) -> DataFrame:
+    """Test-set rows of a data set: its manifest in ``cache`` for full runs that have one, else its source table.
+
+    A source is a Parquet table; ``cv17`` is a manifest of its own. A full run
+    leaves a manifest behind, a capped one doesn't.
+    """
+    if selector == "cv17":
+        return read_external_manifest(spark, source, cap)
+    manifest = f"{cache}/{selector}.manifest.jsonl"
+    if not cap and storage.exists(spark, manifest):
+        return read_manifest(spark, manifest).withColumn("ordinal", file_order())
+    rows = materialise(numbered(spark.read.parquet(source)), selector, TEXT_KEYS[selector], cap)
+    rows = rows.withColumn("audio_path", F.concat(F.lit(f"{cache}/{selector}/"), "audio_path"))
+    if not cap:
+        from .writers import write_manifest
+
+        write_manifest(rows, manifest)
+    return rows
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of Parquet files with ``ordinal``, their place from 0 over the files in path order. Only files are sorted."""
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    sizes = placed.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = sizes.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    return placed.join(before, "_file").withColumn("ordinal", F.col("_before") + F.col("_at")).drop("_file", "_at", "_before")
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result files, one object each, with their file name; NaN counts as missing."""
-    rows = spark.read.schema(schemas.RESULT).option("multiLine", True).json(path)
+    """Result files, one object each, with their file name; NaN counts as missing. A file that isn't an object fails."""
+    rows = spark.read.schema(schemas.RESULT).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return nan_to_null(rows).withColumn("file", F.col("_metadata.file_name"))
 
 
+def read_published_results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(results, files that were skipped as they can't be read). A folder that is missing or empty has no results."""
+    schema = f"{schemas.RESULT}, _bad string"
+    paths = storage.glob(spark, f"{folder}/*.json")
+    if not paths:
+        none = spark.createDataFrame([], f"{schemas.RESULT}, file string")
+        return none, none.select("file")
+    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowNonNumericNumbers": "true"})
+    rows = texts.withColumn("_r", parsed).select("_r.*", "file")
+    return nan_to_null(rows.filter("_bad is null")).drop("_bad"), rows.filter("_bad is not null").select("file")
+
+
 def nan_to_null(rows: DataFrame) -> DataFrame:
     doubles = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("double", "float")]
     return rows.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles})
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RUN).option("multiLine", True).json(path)
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata of runs, with the name of its folder as ``slug``; no rows where there is none.
+
+    It lies in a model's folder, or below ``_runs``, out of the way of data partitioned by model.
+    """
+    paths = storage.glob(spark, f"{folder}/*/meta.json") + storage.glob(spark, f"{folder}/_runs/*/meta.json")
+    if not paths:
+        return spark.createDataFrame([], f"{schemas.RUN}, slug string")
+    rows = spark.read.schema(schemas.RUN).option("multiLine", True).json(paths)
+    return rows.withColumn("slug", F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1)))
 
 
 def attach_runs(rows: DataFrame, runs: DataFrame, slug: str = "slug") -> DataFrame:
     """Rows with their run's metadata; the slug stands in for a missing name, other gaps have defaults."""
     from ..functions.naming import default_access, slugify
 
-    meta = runs.select(slugify(F.col("model")).alias(slug), F.col("model").alias("_model"), "params_b", "access", "submitted", "speed_x", "model_link")
+    key = F.coalesce("slug", slugify(F.col("model"))) if "slug" in runs.columns else slugify(F.col("model"))
+    meta = runs.select(key.alias(slug), F.col("model").alias("_model"), "params_b", "access", "submitted", "speed_x", "model_link")
     return rows.join(meta, slug, "left").select(
         *rows.columns,
         F.coalesce("_model", slug).alias("model_name"),
@@ -147,7 +241,7 @@ def read_clip_table(spark: SparkSession, path: str) -> DataFrame:
     if "path" not in rows.columns or not keys:
         raise ValueError("the table needs a path and a sentence or text column")
     return last_of_each(
-        rows.select(F.monotonically_increasing_id().alias("ordinal"), python_strip(F.col("path")).alias("path"), python_strip(F.col(keys[0])).alias("text"))
+        rows.select(file_order().alias("ordinal"), python_strip(F.col("path")).alias("path"), python_strip(F.col(keys[0])).alias("text"))
         .filter("path != '' and text != ''")
     )
 
@@ -162,13 +256,6 @@ def split_alias(split: Column) -> Column:
     return F.when(split.isin("validation", "val"), F.lit("dev")).otherwise(split)
 
 
-def clips_with_text(files: DataFrame, clips: DataFrame) -> tuple[DataFrame, Column]:
-    """Archive members that the table names, by base name; and the condition that counts the skipped."""
-    base = F.regexp_extract("path", "([^/]*)$", 1)
-    met = files.withColumn("clip", base).join(clips.select(F.col("path").alias("clip"), "text"), "clip", "left")
-    return met, F.col("text").isNull()
-
-
 def split_frontmatter(text: Column) -> Column:
     """struct(header, body) of a document that may open with a header between dashes."""
     pattern = r"(?s)^---\n(.*?)\n---\n(.*)$"

@@ -25,10 +25,24 @@ RUN = (
 )
 # The order of columns of the results table.
 RESULT_COLUMNS = [
-    "model", "access", "params_b", "mean_wer", "mean_cer", "speed_x",
-    *[f"{c}_{m}" for c in CORE_COLUMNS for m in ("wer", "cer")],
+    "model",
+    "access",
+    "params_b",
+    "mean_wer",
+    "mean_cer",
+    "speed_x",
+    "coral_conversation_wer",
+    "coral_read_aloud_wer",
+    "cv17_da_wer",
+    "fleurs_da_wer",
+    "ftspeech_wer",
+    "coral_conversation_cer",
+    "coral_read_aloud_cer",
+    "cv17_da_cer",
+    "fleurs_da_cer",
+    "ftspeech_cer",
     "submitted",
-]
+]
 _TEXT_COLUMNS = ("model", "access", "submitted")
 RESULT = ", ".join(f"{c} {'string' if c in _TEXT_COLUMNS else 'double'}" for c in RESULT_COLUMNS)
 CARD_CONFIG = "config_name string, data_files array<struct<split:string,path:string>>, `default` boolean"

@@ -4,22 +4,45 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from . import schemas
+from . import schemas, storage
 
 
 def write_raw_outputs(rows: DataFrame, path: str) -> None:
-    """JSON lines below model and data set; text is not escaped beyond JSON's needs."""
-    rows.write.partitionBy("model", "dataset").json(path)
+    """JSON lines below model slug and data set, replacing the ones present; text is not escaped beyond JSON's needs."""
+    from ..functions.naming import slugify
+
+    slugged = rows.select(slugify(F.col("model")).alias("model"), "dataset", "id", "reference", "hypothesis")
+    slugged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "dataset").json(path)
 
 
 def write_output_table(rows: DataFrame, path: str) -> int:
-    """Parquet partitioned by model, replacing only the models present; nothing is written for no rows. Returns the row count."""
-    if rows.isEmpty():
-        return 0
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
-    return rows.count()
+    """Parquet partitioned by model, replacing only the models present; no rows write nothing. Returns the row count.
+
+    The rows are counted as they pass to the files, so they are computed once.
+    """
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
+    return seen.get["n"]
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """JSON lines of test-set rows, in their order where they have one."""
+    if "ordinal" in rows.columns:
+        rows = rows.orderBy("ordinal")
+    rows.select("audio_path", "reference_text").write.mode("overwrite").json(path)
+
+
+def write_result_files(spark: SparkSession, results: DataFrame, folder: str, slug: str = "slug") -> list[str]:
+    """``<slug>.json`` of each row, with its nulls; a table of results has a row per model. Returns the paths."""
+    columns = [*schemas.RESULT_COLUMNS]
+    paths = []
+    for row in results.select(slug, *columns).orderBy(slug).toLocalIterator():
+        path = f"{folder}/{row[slug]}.json"
+        storage.write_text(spark, path, json.dumps({c: row[c] for c in columns}, indent=2, ensure_ascii=False) + "\n")
+        paths.append(path)
+    return paths
 
 
 def result_json(*columns: str) -> Column:
@@ -33,26 +56,31 @@ def write_results(rows: DataFrame, path: str) -> None:
     ordered.coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def board_document(wer: DataFrame, cer: DataFrame, updated: Column) -> DataFrame:
+def board_document(wer: DataFrame, cer: DataFrame, updated: Column, org_logo: str = "") -> DataFrame:
     """The two boards in rank order, as one JSON document."""
 
     def rows(board: DataFrame, name: str) -> DataFrame:
         return board.agg(F.array_sort(F.collect_list(F.struct(*board.columns))).alias(name))
 
     both = rows(wer, "wer").crossJoin(rows(cer, "cer"))  # one row each
-    document = F.struct(updated.alias("updated"), "wer", "cer")
+    document = F.struct(updated.alias("updated"), F.lit(org_logo).alias("org_logo"), "wer", "cer")
     return both.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 
+def folded(name: Column) -> Column:
+    """Caseless form: lower case, and a sharp s as two."""
+    return F.replace(F.lower(name), F.lit("ß"), F.lit("ss"))
+
+
 def model_names(board: DataFrame) -> DataFrame:
     """Distinct repository names, in caseless order."""
     from ..functions.naming import is_repository
 
-    return board.filter(is_repository(F.col("name"), F.col("url"))).select("name").distinct().orderBy(F.lower("name"), "name")
+    return board.filter(is_repository(F.col("name"), F.col("url"))).select("name").distinct().orderBy(folded(F.col("name")), "name")
 
 
 def model_names_module(names: DataFrame) -> DataFrame:
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("name"), "name"))), lambda s: F.concat(F.lit("    '"), s["name"], F.lit("'"))), ",\n")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(folded(F.col("name")), "name"))), lambda s: F.concat(F.lit("    '"), s["name"], F.lit("'"))), ",\n")
     return names.agg(F.concat(F.lit("MODEL_NAMES = [\n"), listed, F.lit("\n]\n")).alias("module"))
 
 
