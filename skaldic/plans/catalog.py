@@ -103,10 +103,11 @@ def empty_ref_dropped(spark, sf_dir):
 
 
 def rescore_configs(spark, sf_dir):
-    """The same outputs under two settings of the normaliser."""
+    """The same outputs under two settings of the normaliser; every third utterance has hesitations."""
     rows = transcripts(spark, sf_dir, ("m_drop", "m_sub"))
+    hesitant = F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("Øhm, "), F.col("hypothesis"), F.lit(" hmm eh"))).otherwise(F.col("hypothesis"))
     other = scoring.Config(None, number_words=False, filler_words=True, name="fillers")
-    return scoring.rescore(rows, [PLAIN, other], "model", "dataset").drop("cer")
+    return scoring.rescore(rows.withColumn("hypothesis", hesitant), [PLAIN, other], "model", "dataset")
 
 
 def rescore_delta(spark, sf_dir):
@@ -124,7 +125,7 @@ def turn_pair_wer(spark, sf_dir):
     pairs = scoring.normalised_pairs(scoring.align(refs, hyps), PLAIN)
     return scoring.utterance_word_edits(pairs).agg(
         F.count("*").alias("n_pairs"), F.sum("n_words").alias("n_words"), F.sum(F.size(T.tokens(F.col("hypothesis")))).alias("n_hyp_words"),
-        F.sum((F.col("word_edits") >= F.abs(F.col("n_words") - F.size(T.tokens(F.col("hypothesis"))))).cast("int")).alias("n_bounded"),
+        F.sum("word_edits").alias("word_edits"),
     )
 
 
@@ -134,6 +135,12 @@ def normalise_text(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", PLAIN.apply(F.col("text")).alias("normalised"))
 
 
+def unicode_composed(spark, sf_dir):
+    """Decomposed letters and letters beyond ASCII, in the composed form."""
+    apart = F.replace(F.replace(F.col("text"), F.lit("a"), F.lit("a\u030a")), F.lit("e"), F.lit("e\u0301"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.unicode_form(apart, "NFC").alias("composed"))
+
+
 def number_separator_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_number_separators(F.col("html")).alias("stripped"))
 
@@ -159,6 +166,7 @@ def _literal(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
+# Texts and what they must become, by published behaviour.
 APOSTROPHES = [("det's", "det's"), ("o'clock", "o'clock"), ("'hej'", "hej"), ("det’s godt", "det's godt"), ("a'b'c", "a'b'c"), ("1960'erne", "1960erne")]
 UNICODE_CASES = [
     ("ﬁsk", "NFKC", "fisk"), ("ｈｅｊ ２０２５", "NFKC", "hej 2025"), ("m²", "NFKC", "m2"), ("¾", "NFKC", "34"),
@@ -229,12 +237,49 @@ def board_rank(spark, sf_dir):
     return scoring.rank_rows(rows, "metric")
 
 
-def two_boards(spark, sf_dir):
-    """Ranked by balance and by key within nation, apart."""
+def _supplier_results(spark, sf_dir):
+    """Suppliers as models: two means that rank apart, some missing, names of repositories and of hosted models."""
     rows = table(spark, sf_dir, "supplier")
-    one = Window.orderBy("s_acctbal", "s_name")
-    two = Window.orderBy("s_nationkey", "s_name")
-    return rows.select("s_name", F.row_number().over(one).alias("rank_a"), F.row_number().over(two).alias("rank_b"))
+    name = F.concat_ws("/", F.concat(F.lit("n"), F.col("s_nationkey")), F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))))
+    key = F.col("s_suppkey")
+    return rows.select(
+        F.when(key % 5 == 0, F.concat(F.lit("scribe_v"), key)).when(key % 7 == 0, F.concat(F.lit("GPT-4o-"), key))
+        .otherwise(F.concat(F.lit("["), name, F.lit(f"]({naming.HUB}"), name, F.lit(")"))).alias("model"),
+        F.when(key % 2 == 0, F.lit("proprietary")).alias("access"),
+        F.when(key % 3 == 0, F.lit(0.05)).otherwise(F.lit(1.5)).alias("params_b"),
+        F.when(key % 11 != 0, F.col("s_acctbal").cast("double")).alias("mean_wer"),
+        F.when(key % 13 != 0, -F.col("s_acctbal").cast("double")).alias("mean_cer"),
+        F.lit("2026-06-24T10:00").alias("submitted"),
+    )
+
+
+def two_boards(spark, sf_dir):
+    """By word and by character error rate, ranked apart, with links, logos, sizes."""
+    wer, cer = board.boards(_supplier_results(spark, sf_dir), avatars={"openai": "https://avatars/o", "n7": "https://avatars/7"})
+    parts = [b.select(F.lit(which).alias("board"), "rank", "name", "url", "logo", "access", "size", "submitted", "mean_cer") for which, b in (("wer", wer), ("cer", cer))]
+    return parts[0].unionByName(parts[1])
+
+
+def excluded_rows(spark, sf_dir):
+    return board.excluded_count(_supplier_results(spark, sf_dir), {"N3", "n9"}, {"SCRIBE_V5"})
+
+
+def origin_counts(spark, sf_dir):
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    return board.origin_counts(docs.select(F.col("doc_id").alias("file")), labels.select(F.col("doc_id").alias("file")))
+
+
+def rates_as_aggregates(spark, sf_dir):
+    pairs = scored(spark, sf_dir, ("m_sub",))
+    return pairs.groupBy("dataset").agg(
+        scoring.compute_wer(F.col("reference"), F.col("hypothesis")).alias("wer"), scoring.compute_cer(F.col("reference"), F.col("hypothesis")).alias("cer")
+    )
+
+
+def core_mean(spark, sf_dir):
+    """Means over three data sets alone."""
+    rates = _published(spark, sf_dir)
+    return scoring.macro_mean(scoring.core_only(rates, ("en", "es", "fr")), "wer", "model")
 
 
 def exclude_then_rank(spark, sf_dir):
@@ -262,6 +307,7 @@ def slugify(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", naming.slugify(F.col("url")).alias("slug"))
 
 
+# Published model names with their counted parameters.
 SIZE_CASES = [
     ("mistralai/Voxtral-Small-24B-2507", 24.262), ("Qwen/Qwen3-ASR-1.7B", 2.349), ("nvidia/parakeet-tdt-0.6b-v3", 0.627),
     ("CoRal-project/roest-v3-wav2vec2-315m", 0.315), ("openai/whisper-large-v3", 1.543), ("openai/whisper-tiny", 0.038),
@@ -407,7 +453,7 @@ def full_board(spark, sf_dir):
 
 QUERIES = [
     wer_by_model_dataset, cer_by_model_dataset, macro_mean_wer, results_wide_pivot, wer_vs_mean_of_rates, empty_hyp_full_deletion,
-    empty_ref_dropped, rescore_configs, rescore_delta, turn_pair_wer, normalise_text, number_separator_strip, punct_strip,
+    empty_ref_dropped, rates_as_aggregates, core_mean, unicode_composed, excluded_rows, origin_counts, rescore_configs, rescore_delta, turn_pair_wer, normalise_text, number_separator_strip, punct_strip,
     whitespace_collapse, lowercase, standalone_int_tokens, apostrophe_rule, unicode_forms, filler_strip, cardinals, overlay_merge,
     backfill_access, missing_speed, board_rank, two_boards, exclude_then_rank, link_parse, model_links, slugify, size_from_name,
     official_size, substring_lookup, archive_choice, model_names, dataset_card, outputs_union, combined_alias, repair_hypothesis,
@@ -480,6 +526,35 @@ e AS (
 )"""
 
 
+# Words that both sides share are single bytes, the others one byte a side; more shared words than bytes would fail here.
+_CODED = """coded AS (
+  SELECT rw, hw, CASE WHEN len(d) > 90 THEN error('too many shared words') ELSE CAST(levenshtein(
+      array_to_string(list_transform(rw, lambda x: chr(CAST(CASE WHEN list_contains(d, x) THEN 34 + list_position(d, x) ELSE 33 END AS INTEGER))), ''),
+      array_to_string(list_transform(hw, lambda x: chr(CAST(CASE WHEN list_contains(d, x) THEN 34 + list_position(d, x) ELSE 34 END AS INTEGER))), '')) AS BIGINT) END AS word_edits
+  FROM (SELECT *, list_intersect(list_distinct(rw), hw) AS d FROM w)
+)"""
+
+
+def _rescored() -> str:
+    hesitant = "CASE WHEN ordinal % 3 = 0 THEN 'Øhm, ' || hypothesis || ' hmm eh' ELSE hypothesis END"
+    spare = "translate({}, 'àâäáãåæçèéêëìíîïñòóôõöøœùúûüýÿß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ#$%&(')"
+    filler = "list_filter(string_split({}, ' '), lambda t: t <> '' AND NOT regexp_full_match(t, 'eh+m*|øh+m*|h+m+|m+h+'))"
+    words = "list_filter(string_split({}, ' '), lambda t: t <> '')"
+    forms = " UNION ALL ".join(
+        f"SELECT model, dataset, '{name}' AS config, {cut.format('r')} AS rw, {cut.format('h')} AS hw FROM norm" for name, cut in (("plain", words), ("fillers", filler))
+    )
+    return f"""WITH {_transcripts(("m_drop", "m_sub"))},
+norm AS (SELECT model, dataset, {_plain("reference")} AS r, {_plain(hesitant)} AS h FROM tr),
+forms AS ({forms}),
+texts AS (SELECT *, array_to_string(rw, ' ') AS r, array_to_string(hw, ' ') AS h, list_distinct(list_concat(rw, hw)) AS d FROM forms WHERE len(rw) > 0)
+SELECT model, dataset, config,
+  CAST(sum(levenshtein(
+      array_to_string(list_transform(rw, lambda x: chr(CAST(32 + list_position(d, x) AS INTEGER))), ''),
+      array_to_string(list_transform(hw, lambda x: chr(CAST(32 + list_position(d, x) AS INTEGER))), ''))) AS DOUBLE) / sum(len(rw)) * 100.0 AS wer,
+  CAST(sum(levenshtein({spare.format("r")}, {spare.format("h")})) AS DOUBLE) / sum(length(r)) * 100.0 AS cer
+FROM texts GROUP BY ALL"""
+
+
 def _sums(kind: str, units: str, name: str, models=MODELS, keys="model, dataset") -> str:
     return f"""{_edits(models)} SELECT {keys}, CAST(sum({kind}) AS BIGINT) AS edits, CAST(sum({units}) AS BIGINT) AS units,
   CAST(sum({kind}) AS DOUBLE) / sum({units}) * 100.0 AS {name} FROM e GROUP BY {keys}"""
@@ -511,9 +586,6 @@ _SPEED = """SELECT event_type, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE)
 
 
 def oracle_sql() -> dict[str, str]:
-    rates_both = " UNION ALL ".join(
-        f"SELECT model, dataset, CAST(sum(word_edits) AS DOUBLE) / sum(n_words) * 100.0 AS wer, '{c}' AS config FROM e GROUP BY model, dataset" for c in ("plain", "fillers")
-    )
     return {
         "wer_by_model_dataset": _WER,
         "cer_by_model_dataset": _sums("char_edits", "n_chars", "cer"),
@@ -524,13 +596,21 @@ def oracle_sql() -> dict[str, str]:
         "empty_hyp_full_deletion": _sums("word_edits", "n_words", "wer", ("m_empty",), "dataset"),
         "empty_ref_dropped": f"""WITH {_transcripts(("m_identity",))}, n AS (SELECT dataset, {_plain("reference")} AS r FROM tr WHERE ordinal % 2 = 0)
             SELECT dataset, count(*) AS n_pairs, CAST(sum(len(string_split(r, ' '))) AS BIGINT) AS n_words FROM n WHERE r <> '' GROUP BY dataset""",
-        "rescore_configs": f"{_edits(('m_drop', 'm_sub'))} {rates_both}",
+        "rescore_configs": _rescored(),
+        "rates_as_aggregates": f"""{_edits(("m_sub",))} SELECT dataset, CAST(sum(word_edits) AS DOUBLE) / sum(n_words) * 100.0 AS wer,
+            CAST(sum(char_edits) AS DOUBLE) / sum(n_chars) * 100.0 AS cer FROM e GROUP BY dataset""",
+        "core_mean": f"{_RATES} SELECT model, round(avg(wer), 2) AS mean_wer FROM s WHERE dataset IN ('en', 'es', 'fr') GROUP BY model",
+        "unicode_composed": "SELECT doc_id, nfc_normalize(replace(replace(text, 'a', 'a' || chr(778)), 'e', 'e' || chr(769))) AS composed FROM documents",
+        "excluded_rows": """SELECT count(*) FILTER (s_suppkey = 5 OR (s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_nationkey IN (3, 9))) AS n_excluded FROM supplier""",
+        "origin_counts": """SELECT count(*) AS n_files, count(l.doc_id) AS n_local, count(*) FILTER (l.doc_id IS NULL) AS n_remote_only
+            FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""",
         "rescore_delta": f"""{_edits(("m_drop", "m_sub", "m_empty"))}, s AS (SELECT model, dataset, CAST(sum(word_edits) AS DOUBLE) / sum(n_words) * 100.0 AS wer FROM e GROUP BY model, dataset)
             SELECT model, dataset, wer, CASE WHEN model <> 'm_drop' THEN wer / 2 END AS published, CASE WHEN model <> 'm_drop' THEN wer - wer / 2 END AS delta FROM s""",
         "turn_pair_wer": f"""WITH p AS (SELECT {_plain("u.text")} AS r, {_plain("a.text")} AS h FROM conversations u JOIN conversations a
-              ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'), k AS (SELECT * FROM p WHERE r <> '')
-            SELECT count(*) AS n_pairs, CAST(sum(len(string_split(r, ' '))) AS BIGINT) AS n_words,
-              CAST(sum(len(list_filter(string_split(h, ' '), lambda t: t <> ''))) AS BIGINT) AS n_hyp_words, count(*) AS n_bounded FROM k""",
+              ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'), k AS (SELECT * FROM p WHERE r <> ''),
+            w AS (SELECT *, list_filter(string_split(r, ' '), lambda t: t <> '') AS rw, list_filter(string_split(h, ' '), lambda t: t <> '') AS hw FROM k), {_CODED}
+            SELECT count(*) AS n_pairs, CAST(sum(len(rw)) AS BIGINT) AS n_words, CAST(sum(len(hw)) AS BIGINT) AS n_hyp_words,
+              CAST(sum(word_edits) AS BIGINT) AS word_edits FROM coded""",
         "normalise_text": f"SELECT doc_id, {_plain('text')} AS normalised FROM documents",
         "number_separator_strip": f"SELECT page_id, {_separators('html')} AS stripped FROM pages",
         "punct_strip": f"SELECT conv_id, turn, {_punct('text')} AS stripped FROM conversations",
@@ -543,9 +623,16 @@ def oracle_sql() -> dict[str, str]:
         "cardinals": _values(CARDINAL_CASES, "text", "normalised"),
         "overlay_merge": _OVERLAY,
         "backfill_access": "SELECT doc_id AS file, CASE WHEN toxic = 1 AND doc_id % 2 = 0 THEN 'proprietary' ELSE 'open' END AS access FROM labels",
-        "missing_speed": "SELECT s_suppkey AS model, CASE WHEN s_suppkey % 5 <> 0 THEN round(1.0 / (0.25 * s_suppkey), 1) END AS speed_x, 'open' AS access FROM supplier",
+        "missing_speed": "SELECT s_suppkey AS model, CASE WHEN s_suppkey % 5 <> 0 THEN round_even(1.0 / (0.25 * s_suppkey), 1) END AS speed_x, 'open' AS access FROM supplier",
         "board_rank": "SELECT s_name AS name, s_acctbal AS metric, row_number() OVER (ORDER BY s_acctbal, s_name) AS rank FROM supplier",
-        "two_boards": "SELECT s_name, row_number() OVER (ORDER BY s_acctbal, s_name) AS rank_a, row_number() OVER (ORDER BY s_nationkey, s_name) AS rank_b FROM supplier",
+        "two_boards": f"""WITH s AS (SELECT *, s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 AS hosted, CASE WHEN s_suppkey % 5 = 0 THEN 'scribe_v' || s_suppkey
+              WHEN s_suppkey % 7 = 0 THEN 'GPT-4o-' || s_suppkey ELSE 'n' || s_nationkey || '/' || lower(replace(s_name, '#', '-')) END AS name FROM supplier),
+            d AS (SELECT *, CASE WHEN s_suppkey % 5 = 0 THEN '{naming.PROVIDER_DOCS["scribe_v"]}' WHEN hosted THEN '{naming.PROVIDER_DOCS["gpt-4o"]}' ELSE '{naming.HUB}' || name END AS url,
+              CASE WHEN s_suppkey % 5 = 0 THEN '{naming.PROVIDER_LOGOS["scribe_v"]}' WHEN hosted THEN 'https://avatars/o' WHEN s_nationkey = 7 THEN 'https://avatars/7' ELSE '' END AS logo,
+              CASE WHEN s_suppkey % 2 = 0 THEN 'proprietary' ELSE 'open' END AS access, CASE WHEN s_suppkey % 3 = 0 THEN '0.05' ELSE '1.5' END AS size FROM s),
+            b AS (SELECT 'wer' AS board, CAST(row_number() OVER (ORDER BY s_acctbal, name) AS INTEGER) AS rank, * FROM d WHERE s_suppkey % 11 <> 0
+              UNION ALL SELECT 'cer', CAST(row_number() OVER (ORDER BY -s_acctbal, name) AS INTEGER), * FROM d WHERE s_suppkey % 13 <> 0)
+            SELECT board, rank, name, url, logo, access, size, '2026-06-24' AS submitted, CASE WHEN s_suppkey % 13 <> 0 THEN CAST(-s_acctbal AS DOUBLE) END AS mean_cer FROM b""",
         "exclude_then_rank": """SELECT name, metric, row_number() OVER (ORDER BY metric, name) AS rank FROM (
             SELECT n_name || '/' || s_name AS name, s_acctbal AS metric FROM supplier JOIN nation ON s_nationkey = n_nationkey
             WHERE lower(n_name) NOT IN ('germany', 'france')) WHERE lower(name) <> 'china/supplier#000000001'""",
@@ -575,6 +662,6 @@ def oracle_sql() -> dict[str, str]:
         "stub_backend": f"WITH {_UTTERANCES} SELECT dataset, id, id AS hypothesis FROM utt",
         "full_board": f"""{_RATES}, b AS (SELECT model, round(avg(wer), 2) AS mean_wer FROM s GROUP BY model)
             SELECT CAST(row_number() OVER (ORDER BY mean_wer, model) AS INTEGER) AS rank, 'lab/' || model AS name, '{naming.HUB}lab/' || model AS url,
-              'open' AS access, '0.3' AS size, '2026-06-24' AS submitted, mean_wer FROM b""",
+              '' AS logo, 'open' AS access, '0.3' AS size, '2026-06-24' AS submitted, mean_wer FROM b""",
     }
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from skaldic.functions import text as T
 from skaldic.functions.cardinals import cardinal
 
+# Texts and what they must become, by published behaviour.
 DIGITS_KEPT = [
     ("ånd".replace("å", "å"), "ånd"), ("å" + "nd", "ånd"), ("1.234 kroner", "1234 kroner"), ("1,234 kroner", "1234 kroner"), ("3,14", "314"),
     ("3.14", "314"), ("12.345,67", "1234567"), ("år 2025", "år 2025"), ("HUND", "hund"), ("Æble Øl Ånd", "æble øl ånd"),
