@@ -561,8 +561,13 @@ def _sums(kind: str, units: str, name: str, models=MODELS, keys="model, dataset"
 
 
 _WER = _sums("word_edits", "n_words", "wer")
-_RATES = f"""{_edits()}, s AS (SELECT model, dataset, round(CAST(sum(word_edits) AS DOUBLE) / sum(n_words) * 100.0, 2) AS wer,
-  round(CAST(sum(char_edits) AS DOUBLE) / sum(n_chars) * 100.0, 2) AS cer FROM e GROUP BY model, dataset)"""
+def _rounded(x: str, places: int = 2) -> str:
+    """Rounding by the exact binary value, which printing does and ``round`` doesn't."""
+    return f"CAST(format('{{:.{places}f}}', {x}) AS DOUBLE)"
+
+
+_RATES = f"""{_edits()}, s AS (SELECT model, dataset, {_rounded("CAST(sum(word_edits) AS DOUBLE) / sum(n_words) * 100.0")} AS wer,
+  {_rounded("CAST(sum(char_edits) AS DOUBLE) / sum(n_chars) * 100.0")} AS cer FROM e GROUP BY model, dataset)"""
 _PIVOT = ", ".join(f"max(CASE WHEN dataset = '{d}' THEN {m} END) AS {d}_{m}" for d in ("de", "en", "es", "fr") for m in ("wer", "cer"))
 
 
@@ -589,7 +594,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "wer_by_model_dataset": _WER,
         "cer_by_model_dataset": _sums("char_edits", "n_chars", "cer"),
-        "macro_mean_wer": f"{_RATES} SELECT model, round(avg(wer), 2) AS mean_wer FROM s GROUP BY model",
+        "macro_mean_wer": f"{_RATES} SELECT model, {_rounded("avg(wer)")} AS mean_wer FROM s GROUP BY model",
         "results_wide_pivot": f"{_RATES} SELECT model, {_PIVOT} FROM s GROUP BY model",
         "wer_vs_mean_of_rates": f"""{_edits()} SELECT model, CAST(sum(word_edits) AS DOUBLE) / sum(n_words) AS corpus_rate,
             round(avg(CAST(word_edits AS DOUBLE) / n_words), 9) AS mean_of_rates, count(*) AS n_utterances FROM e GROUP BY model""",
@@ -599,7 +604,7 @@ def oracle_sql() -> dict[str, str]:
         "rescore_configs": _rescored(),
         "rates_as_aggregates": f"""{_edits(("m_sub",))} SELECT dataset, CAST(sum(word_edits) AS DOUBLE) / sum(n_words) * 100.0 AS wer,
             CAST(sum(char_edits) AS DOUBLE) / sum(n_chars) * 100.0 AS cer FROM e GROUP BY dataset""",
-        "core_mean": f"{_RATES} SELECT model, round(avg(wer), 2) AS mean_wer FROM s WHERE dataset IN ('en', 'es', 'fr') GROUP BY model",
+        "core_mean": f"{_RATES} SELECT model, {_rounded("avg(wer)")} AS mean_wer FROM s WHERE dataset IN ('en', 'es', 'fr') GROUP BY model",
         "unicode_composed": "SELECT doc_id, nfc_normalize(replace(replace(text, 'a', 'a' || chr(778)), 'e', 'e' || chr(769))) AS composed FROM documents",
         "excluded_rows": """SELECT count(*) FILTER (s_suppkey = 5 OR (s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_nationkey IN (3, 9))) AS n_excluded FROM supplier""",
         "origin_counts": """SELECT count(*) AS n_files, count(l.doc_id) AS n_local, count(*) FILTER (l.doc_id IS NULL) AS n_remote_only
@@ -623,7 +628,7 @@ def oracle_sql() -> dict[str, str]:
         "cardinals": _values(CARDINAL_CASES, "text", "normalised"),
         "overlay_merge": _OVERLAY,
         "backfill_access": "SELECT doc_id AS file, CASE WHEN toxic = 1 AND doc_id % 2 = 0 THEN 'proprietary' ELSE 'open' END AS access FROM labels",
-        "missing_speed": "SELECT s_suppkey AS model, CASE WHEN s_suppkey % 5 <> 0 THEN round_even(1.0 / (0.25 * s_suppkey), 1) END AS speed_x, 'open' AS access FROM supplier",
+        "missing_speed": f"SELECT s_suppkey AS model, CASE WHEN s_suppkey % 5 <> 0 THEN {_rounded('CAST(1.0 AS DOUBLE) / (0.25 * s_suppkey)', 1)} END AS speed_x, 'open' AS access FROM supplier",
         "board_rank": "SELECT s_name AS name, s_acctbal AS metric, row_number() OVER (ORDER BY s_acctbal, s_name) AS rank FROM supplier",
         "two_boards": f"""WITH s AS (SELECT *, s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 AS hosted, CASE WHEN s_suppkey % 5 = 0 THEN 'scribe_v' || s_suppkey
               WHEN s_suppkey % 7 = 0 THEN 'GPT-4o-' || s_suppkey ELSE 'n' || s_nationkey || '/' || lower(replace(s_name, '#', '-')) END AS name FROM supplier),
@@ -657,10 +662,10 @@ def oracle_sql() -> dict[str, str]:
         "first_nonblank_text": f"WITH {_SOURCE_ROWS} SELECT * FROM found WHERE reference_text IS NOT NULL",
         "last_clip_wins": "SELECT max(event_id) AS ordinal, 'u' || user_id AS path, arg_max(event_type, event_id) AS text FROM events GROUP BY user_id",
         "frontmatter": "SELECT doc_id, 'id: ' || doc_id AS header, text AS body FROM documents",
-        "speed_ratio": f"SELECT *, CASE WHEN infer_s > 0 THEN round(audio_s / infer_s, 1) END AS speed_x FROM ({_SPEED})",
+        "speed_ratio": f"SELECT *, CASE WHEN infer_s > 0 THEN {_rounded('audio_s / infer_s', 1)} END AS speed_x FROM ({_SPEED})",
         "rtf": f"SELECT event_type, CASE WHEN audio_s > 0 THEN infer_s / audio_s ELSE CAST('nan' AS DOUBLE) END AS rtf FROM ({_SPEED})",
         "stub_backend": f"WITH {_UTTERANCES} SELECT dataset, id, id AS hypothesis FROM utt",
-        "full_board": f"""{_RATES}, b AS (SELECT model, round(avg(wer), 2) AS mean_wer FROM s GROUP BY model)
+        "full_board": f"""{_RATES}, b AS (SELECT model, {_rounded("avg(wer)")} AS mean_wer FROM s GROUP BY model)
             SELECT CAST(row_number() OVER (ORDER BY mean_wer, model) AS INTEGER) AS rank, 'lab/' || model AS name, '{naming.HUB}lab/' || model AS url,
               '' AS logo, 'open' AS access, '0.3' AS size, '2026-06-24' AS submitted, mean_wer FROM b""",
     }
