@@ -7,10 +7,16 @@ each other: a join brings their vectors to the node, and only pairs that beat
 a member's worst neighbour go back to it. In-neighbours of hubs are thinned by
 hash to about ``K``, which is the method's sampling; nothing else is dropped.
 
-A query starts at its own node. Each hop joins the neighbours of the best
-``EXPAND`` nodes not yet expanded among the best ``BEAM``, and scores those not
-seen before, until the beam is expanded. The best ``RERANK`` are scored again in double precision on the original
-vectors.
+Rounds go on until fewer than ``LEAST_GAIN`` of all neighbours change.
+
+A query starts at its own node and at ``ENTRIES`` nodes that all queries share.
+Each hop joins the neighbours of the best ``EXPAND`` nodes not yet expanded
+among the best ``BEAM`` (or the square root of the number of nodes, if that is
+more), and scores those that are not in the beam, until the whole beam is
+expanded. A node that fell out of a beam is worse than all in it and can't come
+back, so the beam is all that a query remembers. The best ``RERANK`` are scored
+again in double precision on the original vectors. A query whose reachable part
+is smaller than that is compared with all vectors, in blocks of queries.
 
 Graph vectors are rounded to bytes, each on its own scale, and get one more
 component in single precision, which makes all lengths equal so that the nearest
@@ -25,6 +31,8 @@ empty table gives no rows. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +45,14 @@ from .workspace import Workspace
 K = 32
 TREES = 4
 LEAF = 256
-ROUNDS = 4
-LEAST_GAIN = 0.02
-"""Rounds end early when fewer than this part of all neighbours changes."""
-BEAM = 64
-EXPAND = 16
+LEAST_GAIN = 0.1
+"""Rounds end when fewer than this part of all neighbours changes."""
+BEAM = 256
+EXPAND = 32
 """Best unexpanded nodes of a query's beam that one hop expands."""
-HOPS = 10
+ENTRIES = 8
 RERANK = 64
+QUERY_BLOCK = 512
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -194,51 +202,79 @@ def introduce(graph: DataFrame, vectors: DataFrame, salt: int) -> DataFrame:
 def build_graph(vectors: DataFrame, n: int, ws: Workspace) -> DataFrame:
     """(node, nbr, sim): about the K nearest neighbours of each node."""
     graph = best_lists(first_lists(vectors, n, ws), ws, "graph")
-    for k in range(ROUNDS):
+    links = graph.count()
+    for k in itertools.count():
         new = best_lists(graph.unionByName(introduce(graph, vectors, k)), ws, "graph")
+        # Lists only ever improve, so this ends.
         gained = new.join(graph, ["node", "nbr"], "left_anti").count()
         ws.drop(graph)
         graph = new
-        if gained < LEAST_GAIN * K * n:
-            break
-    return graph
+        if gained <= LEAST_GAIN * links:
+            return graph
+
+
+def score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query, node, sim) of rows query, node and their two vectors."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # A query's own scale doesn't change its order.
+        (_, a), (head, b) = parts(batch.column(2).to_pylist()), parts(batch.column(3).to_pylist())
+        s = np.einsum("ij,ij->i", a, b) * head[:, 0]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["query", "node", "sim"])
 
 
-def greedy_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, ws: Workspace) -> DataFrame:
-    """(query, node, sim): the nodes seen on the way; ``queries`` has the query's own node."""
+def greedy_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, n: int, ws: Workspace) -> DataFrame:
+    """(query, node, sim): the beam of each query; ``queries`` has the query's own node."""
+    width = max(BEAM, math.isqrt(n))
     links = ws.keep(graph.select("node", "nbr").unionByName(thinned_reverse(graph, 99)).distinct(), "links")
-    asked = queries.join(vectors, F.col("query") == F.col("node")).select("query", F.col("q").alias("qq"))
-    asked = ws.keep(asked, "asked")
+    asked = ws.keep(queries.join(vectors, F.col("query") == F.col("node")).select("query", F.col("q").alias("qq")), "asked")
     here = vectors.select(F.col("node").alias("cand"), F.col("q").alias("cq"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # A query's own scale doesn't change its order.
-            (_, a), (head, b) = parts(batch.column(2).to_pylist()), parts(batch.column(3).to_pylist())
-            s = np.einsum("ij,ij->i", a, b) * head[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["query", "node", "sim"])
-
     def scored(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(here, "cand").join(asked, "query").select("query", "cand", "qq", "cq")
-        return met.mapInArrow(score, "query long, node long, sim float")
-
-    start = queries.select("query", F.col("query").alias("cand"))
-    seen = ws.keep(scored(start), "seen")
-    expanded, frontier = None, seen.select("query", "node")
-    for _ in range(HOPS):
-        reached = frontier.join(links, "node").select("query", F.col("nbr").alias("node")).distinct()
-        fresh = scored(reached.join(seen, ["query", "node"], "left_anti").withColumnRenamed("node", "cand"))
-        more = ws.keep(fresh, "fresh")
-        seen = seen.unionByName(more)
-        expanded = frontier if expanded is None else expanded.unionByName(frontier)
-        best = top(seen, "query", BEAM, F.desc("sim"), "node").select("query", "node", "sim")
-        open_nodes = best.join(expanded, ["query", "node"], "left_anti")
-        frontier = ws.keep(top(open_nodes, "query", EXPAND, F.desc("sim"), "node").select("query", "node"), "frontier")
+        met = pairs.join(here, F.col("node") == F.col("cand")).join(asked, "query").select("query", "node", "qq", "cq")
+        return met.mapInArrow(score_pairs, "query long, node long, sim float")
+
+    shared = [r["node"] for r in vectors.select("node").orderBy(F.xxhash64(F.lit(7), "node"), "node").limit(ENTRIES).collect()]
+    own = queries.select("query", F.col("query").alias("node"))
+    start = queries.select("query", F.explode(F.array(*[F.lit(x) for x in shared])).alias("node"))
+    beam = ws.keep(scored(own.unionByName(start).distinct()).withColumn("open", F.lit(True)), "beam")
+    while True:
+        best_open = top(beam.filter("open"), "query", EXPAND, F.desc("sim"), "node").select("query", "node")
+        frontier = ws.keep(best_open, "frontier")
         if frontier.isEmpty():
-            break
-    return seen
+            return beam.drop("open")
+        reached = frontier.join(links, "node").select("query", F.col("nbr").alias("node")).distinct()
+        fresh = scored(reached.join(beam, ["query", "node"], "left_anti")).withColumn("open", F.lit(True))
+        done = frontier.withColumn("done", F.lit(True))
+        old = beam.join(done, ["query", "node"], "left").select("query", "node", "sim", (F.col("open") & F.col("done").isNull()).alias("open"))
+        new = ws.keep(top(old.unionByName(fresh), "query", width, F.desc("sim"), "node").select("query", "node", "sim", "open"), "beam")
+        ws.drop(beam)
+        ws.drop(frontier)
+        beam = new
+
+
+def compare_all(asked: DataFrame, vectors: DataFrame, n_asked: int) -> DataFrame:
+    """(query, node, sim): the best ``RERANK`` of all nodes for every query of (query, qq), a block of queries at a time."""
+    blocks = -(-n_asked // QUERY_BLOCK)
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")
+    held = asked.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query", "qq")).alias("asked"))
+    spread = vectors.select("node", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    part = F.pmod(F.xxhash64("node"), F.lit(1024)).cast("int")
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["node"].to_numpy()
+        rows = pdf["asked"].iloc[0]
+        head, x = parts(list(pdf["q"]))
+        _, y = parts([r["qq"] for r in rows])
+        s = (y @ x.T) * head[:, 0]
+        k = min(RERANK, len(ids))
+        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        return pd.DataFrame({"query": np.repeat([r["query"] for r in rows], k), "node": ids[at].ravel(), "sim": np.take_along_axis(s, at, 1).ravel()})
+
+    met = spread.withColumn("part", part).join(held, "block")
+    found = met.groupBy("block", "part").applyInPandas(best, "query long, node long, sim float")
+    return top(found, "query", RERANK, F.desc("sim"), "node").select("query", "node", "sim")
 
 
 def nearest(
@@ -268,8 +304,14 @@ def nearest(
     graph = build_graph(vectors, n, ws)
     wanted = good.filter(F.pmod("id", F.lit(every)) == 0).select("id", "v")
     owners = ws.keep(wanted.join(nodes.select("v", "node"), "v").select(F.col("id").alias("query_id"), "node", "v"), "owners")
-    seen = greedy_search(owners.select(F.col("node").alias("query")).distinct(), graph, vectors, ws)
-    near = ws.keep(top(seen, "query", RERANK, F.desc("sim"), "node").select("query", "node"), "near")
+    queries = ws.keep(owners.select(F.col("node").alias("query")).distinct(), "queries")
+    beam = ws.keep(top(greedy_search(queries, graph, vectors, n, ws), "query", RERANK, F.desc("sim"), "node").select("query", "node"), "best")
+    short = ws.keep(beam.groupBy("query").agg(F.count("*").alias("found")).filter(F.col("found") < min(RERANK, n)).select("query"), "short")
+    if n_short := short.count():
+        asked = short.join(vectors, F.col("query") == F.col("node")).select("query", F.col("q").alias("qq"))
+        rest = compare_all(asked, vectors, n_short).select("query", "node")
+        beam = beam.join(short, "query", "left_anti").unionByName(rest)
+    near = ws.keep(beam, "near")
 
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     exact = (
