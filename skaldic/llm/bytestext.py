@@ -109,12 +109,17 @@ def word_spans(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def hashed_spans(buffer: np.ndarray, offsets: np.ndarray, longest: int):
-    """(starts, ends, owner, hashes) of words, those over ``longest`` bytes in pieces of that length."""
+    """(starts, ends, owner, hashes) of words, those over ``longest`` bytes in pieces cut between UTF-8 characters."""
     starts, ends, owner = word_spans(buffer, offsets)
-    parts = -(-(ends - starts) // longest)
+    step = longest - 3
+    length = ends - starts
+    parts = np.where(length > longest, -(-length // step), 1)
     if len(parts) and parts.max() > 1:
         at = np.repeat(np.arange(len(starts)), parts)
         within = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = starts[at] + within * longest
-        starts, ends, owner = begin, np.minimum(begin + longest, ends[at]), owner[at]
+        begin = starts[at] + within * step
+        for _ in range(3):
+            begin -= (within > 0) & (buffer[begin] & 0xC0 == 0x80)
+        last = np.r_[at[1:] != at[:-1], True]
+        starts, ends, owner = begin, np.where(last, ends[at], np.r_[begin[1:], 0]), owner[at]
     return starts, ends, owner, span_hashes(prefix_sums(buffer), starts, ends)

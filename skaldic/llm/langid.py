@@ -3,18 +3,22 @@
 Every byte position of a text gets a label distribution; a document's is the
 mean over its letter positions. The state starts anew at white space, so equal
 words share one evaluation: a batch runs the network once per distinct word and
-weighs the result by the word's count. Words longer than ``STEPS`` bytes are
-evaluated in pieces of that length. Whole texts are read.
+weighs the result by the word's count. What the network sees around a position is
+thus its word, and not the words beside it. Words longer than ``STEPS`` bytes, as
+in scripts without spaces, are evaluated in pieces of up to that length, cut between characters. Whole texts are read.
 
 The network is trained in numpy by backpropagation through time on a bounded
-sample: ``TRAIN_DOCS`` training documents of smallest hash, and of each a window
-of ``TRAIN_CHARS`` characters at a hashed place.
+sample: about ``TRAIN_DOCS`` training documents, as many of each label, those of
+smallest hash, and of each a window of ``TRAIN_CHARS`` characters at a hashed
+place; of their words ``TRAIN_WORDS`` are drawn. Identifiers and labels alone
+are sampled, so only the texts of the sample reach the driver.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, and so is
-everything where no labelled document exists. Null labels are not learned from.
-Repeated rows get equal results. Very long texts are one row and are read in
-slices of words. An empty table gives no rows. Other columns are ignored,
-whatever their names.
+everything where no labelled document exists. Null labels are not learned from, nor
+are rows without identifier. Of labels that tie the first in their order is taken.
+Repeated rows get equal results and count once in the sample. Very long texts are one row and are read in
+slices of words. An empty table gives no rows. Other columns are ignored, or kept by
+``identified_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bytestext import hashed_spans, lean, text_bytes
+from .workspace import own_columns
 
 TRAIN_DOCS = 1200
 TRAIN_CHARS = 3000
@@ -276,38 +281,42 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts))
 
 
+HASH_RANGE = 1 << 40
+
+
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, held_out: Column) -> tuple[list[str], list[str]]:
-    """Texts and labels of at most ``TRAIN_DOCS`` rows outside the held-out fold."""
-    text = F.col(text_col)
+    """Texts and labels of about ``TRAIN_DOCS`` rows outside the held-out fold, each label's share alike."""
+    ident, text = F.col(id_col), F.col(text_col).cast("string")
+    label = F.col(label_col).cast("string")
+    open_rows = docs.filter(label.isNotNull() & ~F.coalesce(held_out, F.lit(True)))
+    hashed = open_rows.select(ident.alias("i"), label.alias("l"), F.pmod(F.xxhash64(F.lit(3), ident), F.lit(HASH_RANGE)).alias("h"))
+    # More labels than sampled documents can't all be learned; the commonest are.
+    counts = hashed.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(TRAIN_DOCS).collect()
+    if not counts:
+        return [], []
+    share = max(1, TRAIN_DOCS // len(counts))
+    # A label's hashes are thinned to some twice its share before they are ordered.
+    limits = docs.sparkSession.createDataFrame([(r["l"], min(HASH_RANGE, 2 * share * HASH_RANGE // r["n"] + 1)) for r in counts], "l string, most long")
+    few = hashed.join(F.broadcast(limits), "l").filter("h < most").groupBy("l", "i").agg(F.min("h").alias("h"))
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("r") <= share)
+    chosen = {(r["i"], r["l"]) for r in ranked.select("i", "l").collect()}
     room = F.greatest(F.length(text) - TRAIN_CHARS, F.lit(0)) + 1
-    rows = (
-        docs.filter(F.col(label_col).isNotNull() & text.isNotNull() & ~F.coalesce(held_out, F.lit(True)))
-        .select(
-            F.xxhash64(F.lit(3), F.col(id_col)).alias("h"),
-            F.col(id_col).alias("i"),
-            F.substr(text, F.pmod(F.xxhash64(F.lit(4), F.col(id_col)), room).cast("int") + 1, F.lit(TRAIN_CHARS)).alias("t"),
-            F.col(label_col).cast("string").alias("l"),
-        )
-        .orderBy("h", "i", "t")
-        .limit(TRAIN_DOCS)
-        .collect()
-    )
-    return [r["t"] for r in rows], [r["l"] for r in rows]
+    window = F.substr(text, F.pmod(F.xxhash64(F.lit(4), ident), room).cast("int") + 1, F.lit(TRAIN_CHARS))
+    found = open_rows.filter(ident.isin([i for i, _ in chosen])).select(ident.alias("i"), label.alias("l"), window.alias("t"))
+    rows = found.filter("t is not null").groupBy("i", "l").agg(F.min("t").alias("t")).collect()
+    rows = sorted((r["l"], r["i"], r["t"]) for r in rows if (r["i"], r["l"]) in chosen)
+    return [t for _, _, t in rows], [label for label, _, _ in rows]
 
 
 def identify(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "lang",
-    carry: list[str] | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", carry: list[Column] | None = None
 ) -> DataFrame:
-    """One row per input row: the columns of ``carry`` (else doc_id), held_out, lang_pred, score."""
+    """One row per input row: the columns ``carry`` (else the identifier), then held_out, lang_pred, score."""
     held = fold(F.col(id_col), 4) == 2
     model = train(*training_sample(docs, id_col, text_col, label_col, held))
-    names = carry if carry is not None else [id_col]
-    rows = docs.select(*names, F.coalesce(held, F.lit(False)).alias("_held_out"), F.col(text_col).cast("string").alias("_text_in"))
-    schema = rows.drop("_text_in").withColumns({"_lang_pred": F.lit("").cast("string"), "_score": F.lit(0.0)}).schema
+    kept = carry if carry is not None else [F.col(id_col)]
+    rows = docs.select(*kept, F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text_in"))
+    schema = rows.drop("text_in").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
     languages = model.languages if model else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,13 +331,15 @@ def identify(
                     best, score = labeller.label(texts)
                 names_out = [languages[i] if i >= 0 else UNDETERMINED for i in best]
                 cols = [*batch.columns[:-1], pa.array(names_out, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "_lang_pred", "_score"])
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    out = rows.mapInArrow(lean(run), schema)
-    return out.withColumnsRenamed({"_held_out": "held_out", "_lang_pred": "lang_pred", "_score": "score"})
+    return rows.mapInArrow(lean(run), schema)
 
 
 def identified_documents(docs: DataFrame, least_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """The rows with a language: not ``und``, and labelled with a mean probability of at least ``least_score``."""
-    found = identify(docs, id_col, text_col, label_col, carry=docs.columns)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(*docs.columns)
+    # Columns of the input pass under numbers, so that their names meet none of this operator's.
+    numbered = [f"c{i}" for i in range(len(docs.columns))]
+    found = identify(docs, id_col, text_col, label_col, [c.alias(n) for c, n in zip(own_columns(docs), numbered, strict=True)])
+    kept = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return kept.select(*[F.col(n).alias(name) for n, name in zip(numbered, docs.columns, strict=True)])
