@@ -11,29 +11,35 @@ The universe is every key that a row could be matched by: for each url, the
 suffixes of its host with as many labels as some rule has, followed by the
 prefixes of its path as long as some rule's path.
 
-Size: a level has ``BITS_PER_KEY`` bits for each key it encodes and at least
-``MIN_BITS``; a list of more than ``MAX_KEYS`` rules is refused, as the filter is
-a constant in every task.
+Size: a level gets as many hashes as halve its wrong passes down to about the
+number of keys it encodes, and at least ``HASHES``, with 1.5 bits a key for each and
+at least ``BITS_PER_KEY``. So levels shrink from the second on, and a cascade
+takes some 20 bits a listed key at any size of the universe. Levels are read to
+the driver as bitmaps of 4 KB. A level over ``MAX_BYTES`` is an error, as it would be a
+constant of every task: that is a list of some fifty million rules.
 
 Cases: a null url or one without ``://`` has an empty host and path, matches no
 rule and is allowed; an empty path matches no rule, as every rule's path starts
-with a slash. Repeated rows are judged alike. An empty table gives no rows; with an empty rule
-list everything is allowed.
+with a slash. Very long urls are cut and judged whole. Of rules that tie in length the first in
+the order of keys is taken. Repeated rows are judged alike. An empty table gives no rows; with an empty rule
+list everything is allowed. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, unused_names
 
 BITS_PER_KEY = 12
 MIN_BITS = 64
 HASHES = 4
-MAX_KEYS = 1_000_000
+MAX_HASHES = 30
+MAX_BYTES = 128 << 20
 MAX_LEVELS = 60
 
 
@@ -66,21 +72,22 @@ class Rule:
 class Level:
     bits: bytes
     seed: int
+    hashes: int = HASHES
 
     @property
     def size(self) -> int:
         return 8 * len(self.bits)
 
 
-def bit_positions(key: Column, size: int, seed: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(seed * HASHES + i), key), F.lit(size)) for i in range(HASHES)]
+def bit_positions(key: Column, size: int, seed: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed * MAX_HASHES + i), key), F.lit(size)) for i in range(hashes)]
 
 
 def passes(key: Column, level: Level) -> Column:
     """Whether every bit of ``key`` is set in the constant filter."""
     whole = F.lit(bytearray(level.bits))
     tests = []
-    for at in bit_positions(key, level.size, level.seed):
+    for at in bit_positions(key, level.size, level.seed, level.hashes):
         byte = F.substr(whole, (at / 8).cast("int") + 1, F.lit(1))
         value = F.conv(F.hex(byte), 16, 10).cast("int")
         tests.append(value.bitwiseAND(bit_of(at)) != 0)
@@ -94,21 +101,25 @@ def bit_of(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))
 
 
-def build_level(keys: DataFrame, n_keys: int, seed: int) -> Level:
-    """The Bloom filter of column ``key``: bits are or-ed per byte where the keys are."""
-    size = max(MIN_BITS, 1 << (max(1, n_keys * BITS_PER_KEY) - 1).bit_length())
-    at = F.explode(F.array(*bit_positions(F.col("key"), size, seed)))
-    # At most size / 8 rows, which the refusal of long lists bounds.
-    rows = (
+def build_level(keys: DataFrame, n_keys: int, n_others: int, seed: int) -> Level:
+    """The Bloom filter of column ``key``, with about ``n_keys`` wrong passes among ``n_others`` keys."""
+    hashes = min(MAX_HASHES, max(HASHES, math.ceil(math.log2(max(1, n_others / n_keys)))))
+    size = max(MIN_BITS, 1 << (math.ceil(n_keys * max(BITS_PER_KEY, 1.5 * hashes)) - 1).bit_length())
+    if size > 8 * MAX_BYTES:
+        raise ValueError(f"{n_keys} keys need a filter of {size >> 23} MB; at most {MAX_BYTES >> 20} are a constant")
+    at = F.explode(F.array(*[p + 1 for p in bit_positions(F.col("key"), size, seed, hashes)]))
+    # Bits are set in bitmaps of 4 KB where the keys are, and only those are read here.
+    bitmaps = (
         keys.select(at.alias("at"))
-        .groupBy((F.col("at") / 8).cast("int").alias("byte"))
-        .agg(F.bit_or(bit_of(F.col("at"))).alias("bits"))
-        .collect()
+        .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     )
     whole = bytearray(size // 8)
-    for r in rows:
-        whole[r["byte"]] = r["bits"]
-    return Level(bytes(whole), seed)
+    for r in bitmaps.toLocalIterator():
+        begin = 4096 * (r["bucket"] - 1)
+        part = bytes(r["bits"])[: len(whole) - begin]
+        whole[begin : begin + len(part)] = part
+    return Level(bytes(whole), seed, hashes)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> list[Level]:
@@ -117,19 +128,16 @@ def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> list
     Both tables have one column ``key`` of distinct values.
     """
     n = listed.count()
-    if n > MAX_KEYS:
-        raise ValueError(f"{n} listed keys; a filter constant holds at most {MAX_KEYS}")
     if n == 0:
         return []
     levels: list[Level] = []
     inside, outside = listed, universe.join(listed, "key", "left_anti")
+    n_others = outside.count()
     while n and len(levels) < MAX_LEVELS:
-        level = build_level(inside, n, seed + len(levels))
+        level = build_level(inside, n, n_others, seed + len(levels))
         levels.append(level)
         wrong = outside.filter(passes(F.col("key"), level))
-        n = wrong.count()
-        if n > MAX_KEYS:
-            raise ValueError(f"{n} keys pass level {len(levels)}; raise BITS_PER_KEY")
+        n, n_others = wrong.count(), n
         inside, outside = wrong, inside
     if n:
         raise ValueError("the cascade did not end; some keys agree in all hashes")
@@ -187,9 +195,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> Dat
 
     keys = candidate_keys(F.col("host"), F.col("path"), rules)
     hits = F.filter(F.transform(keys, matched), lambda s: s["verdict"].isNotNull())
-    return (
-        pages.withColumns({"host": host, "path": path})
-        .withColumn("_hit", F.try_element_at(hits, F.lit(1)))
-        .withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce(F.col("_hit.verdict"), F.lit("allow"))})
-        .drop("_hit")
-    )
+    split = pages.withColumns({"host": host, "path": path})
+    (hit,) = unused_names(split, "hit")
+    found = split.withColumn(hit, F.try_element_at(hits, F.lit(1)))
+    return found.withColumns({"rule": F.col(f"{hit}.rule"), "verdict": F.coalesce(F.col(f"{hit}.verdict"), F.lit("allow"))}).drop(hit)
