@@ -10,18 +10,21 @@ The weights are realised as budgeted block permutations. A seeded hash deals a
 source's documents to blocks. An epoch visits the blocks in its own permutation
 and each block's documents in hash order, and the source's budget of tokens is
 laid along that sequence: whole epochs, whole blocks of the last epoch, and a
-cut inside one block. Block sums are aggregated before they are ordered, so a
-source with a third of all rows is a few thousand block rows, never one task.
+cut inside one block. Block sums are aggregated before they are ordered, and an
+epoch's blocks are ordered by stretches, so a source with a third of all rows is
+never one task: a task orders a block's rows, or a stretch's blocks.
 
 The stream is cut into ``n_mix_blocks`` mix blocks; mix block b holds from each
 source the documents that start in the b-th part of its budget, so every mix block shows
 the target weights.
 
 Cases: a null source is a source of its own, apart from the empty string. Null
-and empty texts have no tokens; they follow their block at no cost. Repeated
-rows share a hash and are taken or left together. A source without tokens has
-weight 0 and passes once. An empty table gives no rows. Columns of the input
-are kept; those named like an output column are replaced.
+and empty texts have no tokens; they follow their block at no cost, once, in the first epoch. Very
+long texts are counted whole and may run over the end of a budget or block. Repeated
+rows share a hash, and so do rows whose hashes tie: they are taken or left together. A source without tokens has
+weight 0 and passes once. With a fixed budget a source may repeat more often than the limit, where even its
+own share breaks it, and a tiny source as often as its budget asks. An empty table gives no rows. ``mixed_documents`` keeps all columns,
+whatever their names; ``mix`` has its own and ignores others.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, own_columns, unused_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPECULATED_LEVELS = 4
 """Bisection levels that one pass over the sources answers."""
 BISECTION_PASSES = 10
 ROWS_PER_BLOCK = 4096
+STRETCH_BITS = 12
+"""log2 of the stretches that an epoch's sequence of blocks is cut into."""
 
 
 @dataclass(frozen=True)
@@ -194,7 +199,7 @@ def lay_out(narrow: DataFrame, weights: DataFrame, target: MixTarget, ws: Worksp
     both bounded, and never over a source's rows.
     """
     n_rows = narrow.count()
-    n_blocks = 1 << min(20, max(0, math.ceil(math.log2(max(1, n_rows / ROWS_PER_BLOCK)))))
+    n_blocks = 1 << max(0, math.ceil(math.log2(max(1, n_rows / ROWS_PER_BLOCK))))
     hashes = ws.keep(
         narrow.withColumn("block", F.pmod(F.col("h"), F.lit(n_blocks)))
         .groupBy("key", "block", "h")
@@ -204,24 +209,32 @@ def lay_out(narrow: DataFrame, weights: DataFrame, target: MixTarget, ws: Worksp
     )
     blocks = hashes.groupBy("key", "block").agg(F.sum("tokens").alias("block_tokens"))
     epochs = F.greatest(F.ceil(F.col("budget") / F.greatest("source_tokens", F.lit(1))), F.lit(1))
-    in_epoch = Window.partitionBy("key", "epoch").orderBy("visit", "block")
-    plan = ws.keep(
+    visits = ws.keep(
         blocks.join(weights, "key")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)))
         .withColumn("visit", F.xxhash64(F.lit(target.seed), "epoch", "block"))
-        .withColumn(
-            "start",
-            F.col("epoch") * F.col("source_tokens")
-            + F.sum("block_tokens").over(in_epoch)
-            - F.col("block_tokens"),
-        )
-        .filter((F.col("start") < F.col("budget")) | (F.col("source_tokens") == 0))
+        .withColumn("stretch", F.shiftright("visit", 64 - STRETCH_BITS)),
+        "visits",
+    )
+    # An epoch's sequence of blocks is cut into stretches, whose sums are laid out first.
+    order = Window.partitionBy("key", "epoch").orderBy("stretch")
+    stretches = visits.groupBy("key", "epoch", "stretch").agg(F.sum("block_tokens").alias("stretch_tokens"))
+    stretches = stretches.withColumn("before_stretch", F.sum("stretch_tokens").over(order) - F.col("stretch_tokens")).drop("stretch_tokens")
+    within = Window.partitionBy("key", "epoch", "stretch").orderBy("visit", "block")
+    start = F.col("epoch") * F.col("source_tokens") + F.col("before_stretch") + F.sum("block_tokens").over(within) - F.col("block_tokens")
+    # Texts without tokens take no room, so they are drawn in the first epoch also where the budget is just used up.
+    first = F.col("epoch") == 0
+    plan = ws.keep(
+        visits.join(stretches, ["key", "epoch", "stretch"])
+        .withColumn("start", start)
+        .filter((F.col("start") < F.col("budget")) | (first & (F.col("start") == F.col("budget"))))
         .select("key", "block", "weight", "budget", "epoch", "start"),
         "plan",
     )
     drawn = hashes.join(plan, ["key", "block"]).withColumn("position", F.col("start") + F.col("before"))
     part = F.floor(F.col("position") * F.lit(target.n_mix_blocks) / F.greatest("budget", F.lit(1)))
-    return drawn.filter((F.col("position") < F.col("budget")) | (F.col("budget") == 0)).select(
+    free = first & (F.col("tokens") == 0) & (F.col("position") == F.col("budget"))
+    return drawn.filter((F.col("position") < F.col("budget")) | free).select(
         "key", "h", "weight", "epoch", "position", F.least(part, F.lit(target.n_mix_blocks - 1)).alias("mix_block")
     )
 
@@ -264,21 +277,16 @@ def mixed_documents(
     ws = Workspace(docs.sparkSession, "mixed")
     narrow = ws.keep(narrow_rows(docs, target, id_col, text_col, source_col), "narrow")
     weights, _ = source_weights(narrow, target, ws)
-    draws = lay_out(narrow, weights, target, ws).groupBy("key", "h").agg(F.count("*").cast("int").alias("_copies"))
-    draws = ws.keep(draws.select(F.col("key").alias("_key"), F.col("h").alias("_h"), "_copies"), "copies")
+    drawn_key, drawn_h, copies, key, h, copy = unused_names(docs, "drawn_key", "drawn_h", "copies", "key", "h", "copy")
+    draws = lay_out(narrow, weights, target, ws).groupBy("key", "h").agg(F.count("*").cast("int").alias(copies))
+    draws = ws.keep(draws.select(F.col("key").alias(drawn_key), F.col("h").alias(drawn_h), copies), "copies")
     # A document drawn once needs no lookup, so only the others and the undrawn are sent.
-    odd = draws.filter("_copies > 1")
     every_row_drawn = target.budget is None
-    here = docs.withColumns(
-        {
-            "_here_key": source_key(F.col(source_col)),
-            "_here_h": row_hash(F.col(id_col), F.col(text_col), target.seed),
-        }
-    )
+    here = docs.withColumns({key: source_key(F.col(source_col)), h: row_hash(F.col(id_col), F.col(text_col), target.seed)})
     met = here.join(
-        odd if every_row_drawn else draws,
-        (F.col("_here_key") == F.col("_key")) & (F.col("_here_h") == F.col("_h")),
+        draws.filter(F.col(copies) > 1) if every_row_drawn else draws,
+        (F.col(key) == F.col(drawn_key)) & (F.col(h) == F.col(drawn_h)),
         "left" if every_row_drawn else "inner",
     )
-    copies = F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))
-    return met.withColumn("_copy", F.explode(copies)).select(*docs.columns)
+    each = F.sequence(F.lit(1), F.coalesce(F.col(copies), F.lit(1)))
+    return met.withColumn(copy, F.explode(each)).select(*own_columns(docs))
