@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bytestext import lean, mixed, prefix_sums, span_hashes, text_bytes, word_spans
-from .workspace import Workspace
+from .workspace import Workspace, unused_names
 
 REGISTERS = 128
 BAND = 4
@@ -293,20 +293,32 @@ def compare_block(table: pa.Table) -> pa.Table:
 
 
 A_BLOCK, B_BLOCK = 512, 4096
+BLOCK_BYTES = 8 << 20
+"""Members, and bytes of their differences, that one side of a group of blocks holds on average."""
 
 
 def links_across(members: DataFrame, ws: Workspace) -> DataFrame:
     """Links between members (x, c, label, nx, nc, lacks, adds) of a centre with different labels.
 
     A members are those outside the centre's commonest label; two members of
-    that label have nothing to find. A and all members are cut into blocks by hash, and each
-    pair of blocks is a group of bounded size.
+    that label have nothing to find. A and all members are cut into blocks by hash, so
+    many that a block is bounded in members and in bytes, and each pair of
+    blocks is a group.
     """
-    per_label = members.groupBy("c", "label").agg(F.count("*").alias("n"))
-    main = per_label.groupBy("c").agg(
-        F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n_b"), (F.sum("n") - F.max("n")).alias("n_a")
+    size = F.sum(F.octet_length("lacks") + F.octet_length("adds")).alias("b")
+    per_label = members.groupBy("c", "label").agg(F.count("*").alias("n"), size)
+    sums = per_label.groupBy("c").agg(
+        F.max_by(F.struct("label", "n", "b"), F.struct("n", -F.col("label"))).alias("most"), F.sum("n").alias("n_all"), F.sum("b").alias("b_all")
     )
-    main = ws.keep(main.filter("n_a > 0").select("c", "main", F.ceil(F.col("n_a") / A_BLOCK).alias("p"), F.ceil(F.col("n_b") / B_BLOCK).alias("q")), "main")
+
+    def parts(n: Column, b: Column, most: int) -> Column:
+        return F.greatest(F.ceil(n / most), F.ceil(b / BLOCK_BYTES), F.lit(1))
+
+    n_a, b_a = F.col("n_all") - F.col("most.n"), F.col("b_all") - F.col("most.b")
+    cut = sums.filter(n_a > 0).select(
+        "c", F.col("most.label").alias("main"), parts(n_a, b_a, A_BLOCK).alias("p"), parts(F.col("n_all"), F.col("b_all"), B_BLOCK).alias("q")
+    )
+    main = ws.keep(cut, "main")
     known = members.join(main, "c")
     h = F.xxhash64("x")
     a = known.filter("label != main").withColumn("i", F.pmod(h, F.col("p"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)))
@@ -405,8 +417,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
 
 
 def keep_one(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay: one of each group, rows without identifier all."""
+    """The rows that stay, with all their columns: one identifier of each group, rows without identifier all.
+
+    Identifiers are what is judged: of rows that repeat one, all stay or all go.
+    """
     ws = Workspace(docs.sparkSession, "neardup-keep")
     found = near_duplicates(docs, words, id_col, text_col)
-    lost = ws.keep(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct(), "lost")
-    return docs.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+    (lost_id,) = unused_names(docs, "lost_id")
+    lost = ws.keep(found.filter(~F.col("kept")).select(F.col("doc_id").alias(lost_id)).distinct(), "lost")
+    return docs.join(lost, F.col(id_col).cast("long") == F.col(lost_id), "left_anti")
