@@ -48,7 +48,7 @@ LEAF = 256
 LEAST_GAIN = 0.1
 """Rounds end when fewer than this part of all neighbours changes."""
 BEAM = 256
-EXPAND = 32
+EXPAND = 64
 """Best unexpanded nodes of a query's beam that one hop expands."""
 ENTRIES = 8
 RERANK = 64
