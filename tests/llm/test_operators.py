@@ -80,6 +80,11 @@ def test_exact_dedup(docs, rows):
     assert Counter(x["doc_id"] for x in kept.collect()) == Counter(r[0] for r in rows if r[0] == min(groups[norm(r[1])]))
 
 
+def test_exact_dedup_has_sorted_runs_and_no_python(docs):
+    plan = exact_dedup.exact_groups(exact_dedup.digests(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 2 * 3 and "HashAggregate" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_exact_dedup_of_null_identifiers(spark):
     rows = spark.createDataFrame([(None, "a"), (2, "a"), (1, "a "), (None, "z"), (None, "z")], "doc_id long, text string")
     got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(rows).collect()}
@@ -159,6 +164,72 @@ def test_mix_meets_its_targets(spark):
     assert stage.columns == docs.columns and stage.count() == len(got)
 
 
+def test_mix_replays_its_permutation(spark, monkeypatch):
+    """Every draw again in plain Python from the written weights: blocks in their epoch's order, rows in hash order, a cut at the budget."""
+    monkeypatch.setattr(mixing, "ROWS_PER_BLOCK", 16)
+    monkeypatch.setattr(mixing, "STRETCH_BITS", 2)
+    rng = random.Random(11)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 9])), rng.choice(["a"] * 9 + ["b", None])) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for target in (mixing.MixTarget(entropy=0.9, repetitions=4.0), mixing.MixTarget(entropy=None, repetitions=None, budget=1500), mixing.MixTarget(budget=9000, entropy=0.99, repetitions=None)):
+        got = mixing.mix(docs, target).toPandas()
+        narrow = docs.select("doc_id", "source", mixing.row_hash(F.col("doc_id"), F.col("text"), target.seed).alias("h"), mixing.token_count(F.col("text")).alias("t")).collect()
+        per = Counter()
+        for r in narrow:
+            per[r["source"]] += r["t"]
+        total = sum(per.values())
+        p = {k: v / total for k, v in per.items()}
+
+        def weights(a):
+            z = sum(x**a for x in p.values())
+            return {k: x**a / z for k, x in p.items()}
+
+        def entropy(a):
+            return -sum(w * math.log(w) for w in weights(a).values())
+
+        lo, hi = 0.0, 1.0
+        if target.entropy is not None and entropy(1.0) < target.entropy * math.log(3):
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (lo, mid) if entropy(mid) < target.entropy * math.log(3) else (mid, hi)
+            a = lo
+        else:
+            a = 1.0
+
+        def worst(a):
+            w = weights(a)
+            return max(w[k] / p[k] for k in p) / (min(w[k] / p[k] for k in p) if target.budget is None else total / target.budget)
+
+        if target.repetitions is not None and worst(a) > target.repetitions:
+            lo, hi = a, 1.0
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (lo, mid) if worst(mid) <= target.repetitions else (mid, hi)
+            a = hi
+        want_weight = weights(a)
+        assert all(abs(w - want_weight[None if s is None or s != s else s]) < 1e-9 for s, w in zip(got["source"], got["weight"]))
+        whole = target.budget or total * sum(x**a for x in p.values()) / min(x ** (a - 1) for x in p.values())
+        n_blocks = 1 << max(0, math.ceil(math.log2(len(rows) / 16)))
+        epochs = range(int(got["epoch"].max()) + 1)
+        pairs = [(e, b) for e in epochs for b in range(n_blocks)]
+        visit = {(r["e"], r["b"]): r["v"] for r in spark.createDataFrame(pairs, "e long, b long").select("e", "b", F.xxhash64(F.lit(target.seed), "e", "b").alias("v")).collect()}
+        want = Counter()
+        for source in per:
+            mine = [r for r in narrow if r["source"] == source]
+            budget = round(want_weight[source] * whole) if target.budget else max(round(want_weight[source] * whole), per[source])
+            for e in epochs:
+                at = e * per[source]
+                for b in sorted({r["h"] % n_blocks for r in mine}, key=lambda b: (visit[e, b], b)):
+                    for r in sorted((r for r in mine if r["h"] % n_blocks == b), key=lambda r: r["h"]):
+                        if at < budget or e == 0 and at == budget and r["t"] == 0:
+                            want[r["doc_id"], e, at] += 1
+                        at += r["t"]
+        assert Counter(zip(got["doc_id"], got["epoch"], got["position"])) == want
+        assert mixing.mixed_documents(docs, target).count() == len(got)
+        if target.budget is None:
+            assert set(got["doc_id"]) == {r[0] for r in rows}
+
+
 def test_mix_repetition_limit_and_budget(spark):
     rows = [(i, "w " * 10, "a" if i < 900 else "b") for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -282,6 +353,54 @@ def test_language_id(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_pooled_scores_agree_with_a_plain_evaluation(spark):
+    """The network position by position, word by word, without sharing words, batches or slices."""
+    rng = random.Random(3)
+    tongue = {"xx": "qua kwa zik zok vék".split(), "yy": "lume nalo sire mona ælia".split()}
+    texts = [" ".join(rng.choice(tongue[l]) for _ in range(15)) for _ in range(60) for l in ["xx", "yy"]]
+    model = langid.train(texts, ["xx", "yy"] * 60)
+    tests = ["Qua 12 zik! lume", "日本語" * 9 + " kwa", "x", "vék\n\tvék nalo", "— 7"]
+    best, score = langid.Labeller(model).label(pa.array(tests))
+
+    def positions(word):
+        f = b = np.zeros((1, langid.HIDDEN), np.float32)
+        ahead, back = [], []
+        for x in word:
+            f = model.ahead.step(np.array([x]), f)[0]
+            ahead.append(f[0])
+        for x in word[::-1]:
+            b = model.back.step(np.array([x]), b)[0]
+            back.insert(0, b[0])
+        for x, u, v in zip(word, ahead, back):
+            if langid._LETTER[x]:
+                z = np.exp(np.concatenate([u, v]) @ model.v + model.c)
+                yield z / z.sum()
+
+    for text, k, s in zip(tests, best, score):
+        pieces = []
+        for word in text.split():
+            data = langid._LOWER[np.frombuffer(word.encode(), np.uint8)]
+            # The only long word has characters of three bytes, so cuts need no moving.
+            step = langid.STEPS - 3 if len(data) > langid.STEPS else len(data)
+            pieces += [data[k : k + step] for k in range(0, len(data), step)]
+        rows = [p for piece in pieces for p in positions(piece)]
+        if not any(c.isalpha() for c in text):
+            assert (k, s) == (-1, 0)
+            continue
+        mean = np.mean(rows, 0)
+        assert model.languages[k] == model.languages[mean.argmax()] and abs(s - mean.max()) < 1e-4
+
+
+def test_sample_is_stratified(spark):
+    rows = [(i, "text", "common" if i % 500 else "rare") for i in range(20_000)] + [(1, "text", "common")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = langid.training_sample(docs, "doc_id", "text", "lang", langid.fold(F.col("doc_id"), 4) == 2)
+    import zlib
+
+    rare = sum(1 for i in range(0, 20_000, 500) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert Counter(labels) == {"common": langid.TRAIN_DOCS // 2, "rare": rare} and len(texts) == len(labels)
+
+
 # --- toxicity
 
 def test_grammar():
@@ -537,6 +656,33 @@ def test_nearest_with_norms_far_apart(spark):
     assert len(hits) == 20 and np.mean(hits) >= 0.9
 
 
+# --- names of columns
+
+TAKEN = [
+    "_hit", "hit", "score", "held_out", "lang_pred", "_held_out", "_text_in", "text_in", "_lost", "_lost_id", "lost_id", "lost_check", "check_here",
+    "_h", "h", "_key", "key", "_copies", "copies", "copy", "drawn_key", "drawn_h", "id", "digest", "node", "label", "run", "KEEP_ID", "a.b", "c`d",
+    "_score", "tokens", "weight", "epoch", "rule", "verdict", "n", "regs", "block", "position",
+]
+
+
+def test_stages_keep_columns_of_any_name(spark, rows):
+    """Names that an operator uses inside or writes are kept with their values."""
+    plain = [(r[0], r[1], "en", r[3], 1) for r in plain_rows(rows)]
+    docs = spark.createDataFrame(plain, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = [n for n in dict.fromkeys(TAKEN)]
+    extra = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in taken])
+    stages = [langid.identified_documents, exact_dedup.keep_first, neardup.keep_one, mixing.mixed_documents]
+    for stage in stages:
+        got = stage(extra)
+        assert got.columns == extra.columns, stage.__name__
+        seen = got.collect()
+        assert seen and all(r[n] == f"{n}{r['doc_id']}" for r in seen for n in taken), stage.__name__
+        assert Counter(r["doc_id"] for r in seen) == Counter(r["doc_id"] for r in stage(docs).collect()), stage.__name__
+    judged = url_filter.judge_urls(extra.withColumn("url", F.lit("http://net/")), catalog.RULES)
+    row = judged.filter("doc_id = 0").first()
+    assert row["_hit"] == "_hit0" and row["verdict"] == "block" and judged.columns == [*extra.columns, "url", "host", "path"]
+
+
 # --- bytes
 
 def test_word_hashes():
@@ -545,3 +691,12 @@ def test_word_hashes():
     starts, ends, owner, hashes = bytestext.hashed_spans(buffer, offsets, 24)
     assert owner.tolist() == [0, 0, 3, 3, 3, 4, 4, 4]
     assert hashes[0] == hashes[3] == hashes[4] and hashes[1] == hashes[2] and hashes[5] == hashes[6] != hashes[7]
+
+
+def test_long_words_are_cut_between_characters():
+    words = ["日本語" * 20, "a" * 25, "é" * 40 + "x", "𝒳" * 30, "y" * 24, "日" * 8]
+    buffer, offsets = bytestext.text_bytes(pa.array(words))
+    starts, ends, owner, _ = bytestext.hashed_spans(buffer, offsets, 24)
+    pieces = [bytes(buffer[a:b]).decode() for a, b in zip(starts, ends)]
+    assert ["".join(p for p, o in zip(pieces, owner) if o == i) for i in range(len(words))] == words
+    assert (ends - starts).max() <= 24 and owner.tolist().count(4) == owner.tolist().count(5) == 1
