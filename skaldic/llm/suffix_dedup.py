@@ -25,11 +25,15 @@ are the suffixes, long enough, of one short context.
    identifier of each group; cells lay them on all occurrences of the context.
 
 A shard meets a context once per cell, however many documents repeat it, so
-hot passages are met by as many rows as there are cells.
+hot passages are met by as many rows as there are cells. A cell writes a row for
+each shard that it has anchors for, at most one an anchor. Contexts are told apart by two independent
+64-bit hashes, suffixes by their bytes; an anchor's hash only says where to look.
+The cells are a bucketed table, with a bucket for each cell as long as Spark allows
+so many, else with several cells a bucket; it is dropped also when a step fails.
 
 Cases: null text is empty. A row without identifier is never a smaller document and loses
 nothing. Rows that repeat an identifier are judged against smaller ones only.
-Texts under ``LENGTH`` bytes lose nothing. An empty table gives no rows. Other
+Texts under ``LENGTH`` bytes lose nothing. Very long texts are read whole, a text at a time. An empty table gives no rows. Other
 columns are ignored, whatever their names.
 """
 
@@ -99,6 +103,31 @@ def anchors(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return value[where[first]], begin, end, owner[first], span_hashes(sums, begin, end)
 
 
+_TABULATED = np.random.default_rng(8).integers(0, 1 << 63, (LONGEST, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bodies(buffer: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(n, LONGEST) bytes of contexts, zeros beyond their ends."""
+    take = np.minimum(begin[:, None] + np.arange(LONGEST), len(buffer) - 1)
+    return np.where(np.arange(LONGEST) < size[:, None], buffer[take], 0).astype(np.uint8)
+
+
+def second_hashes(size: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """A hash of each context from its bytes by tables, independent of the first: both together tell contexts apart."""
+    out = size.astype(np.uint64)
+    for k in range(LONGEST):
+        out ^= _TABULATED[k][body[:, k]] * np.uint64(2 * k + 1)
+    return out
+
+
+def first_of_each(context: np.ndarray, check: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): rows by context, smallest identifier first; ``new`` marks a context's first row."""
+    order = np.lexsort((who, check, context))
+    new = np.ones(len(order), bool)
+    new[1:] = (context[order][1:] != context[order][:-1]) | (check[order][1:] != check[order][:-1])
+    return order, new
+
+
 def slices(table: pa.Table):
     """(first row, buffer, offsets) of runs of texts of a bounded size."""
     texts = table.column("body").combine_chunks()
@@ -207,21 +236,16 @@ def send_contexts(table: pa.Table, shared: pa.Table, n_shards: int) -> pa.Table:
         value, begin, end, owner, context = (x[hit] for x in (value, begin, end, owner, context))
         if not len(value):
             continue
-        who = least[owner + first]
-        order = np.lexsort((who, context))
-        new = np.ones(len(order), bool)
-        new[1:] = context[order][1:] != context[order][:-1]
+        who, size = least[owner + first], end - begin
+        body = bodies(buffer, begin, size)
+        check = second_hashes(size, body)
+        order, new = first_of_each(context, check, who)
         pick = order[new]
-        size = end[pick] - begin[pick]
-        take = np.minimum(begin[pick][:, None] + np.arange(LONGEST), len(buffer) - 1)
-        body = np.where(np.arange(LONGEST) < size[:, None], buffer[take], 0).astype(np.uint8)
-        found.append([value[pick], context[pick], who[pick], size, body])
+        found.append([x[pick] for x in (value, context, check, who, size, body)])
     if not found:
         return _rows(_SENT, [])
-    value, context, who, size, body = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((who, context))
-    new = np.ones(len(order), bool)
-    new[1:] = context[order][1:] != context[order][:-1]
+    value, context, check, who, size, body = (np.concatenate(x) for x in zip(*found, strict=True))
+    order, new = first_of_each(context, check, who)
     order = order[new]
     value, context, who, size, body = (x[order] for x in (value, context, who, size, body))
     rows = []
@@ -310,9 +334,8 @@ def find_repeats(table: pa.Table) -> pa.Table:
     source = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
     value, context, who, size, body = (np.concatenate(x) for x in zip(*got, strict=True))
     # Contexts met from several cells are one text of the array.
-    order = np.lexsort((who, context))
-    new = np.ones(len(order), bool)
-    new[1:] = context[order][1:] != context[order][:-1]
+    check = second_hashes(size, body)
+    order, new = first_of_each(context, check, who)
     pick = order[new]
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
@@ -356,8 +379,8 @@ def find_repeats(table: pa.Table) -> pa.Table:
         take = np.repeat(begin[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         m = mark[take]
         head = np.array([len(m)], np.int64)
-        key = np.repeat(context[mine], n)
-        rows.append((cell, _pack(head, key, m[:, 3].astype(np.int64), m[:, 1].astype(np.uint8), m[:, 2].astype(np.uint8))))
+        key, second = np.repeat(context[mine], n), np.repeat(check[mine], n)
+        rows.append((cell, _pack(head, key, second, m[:, 3].astype(np.int64), m[:, 1].astype(np.uint8), m[:, 2].astype(np.uint8))))
     return _rows(_BACK, rows)
 
 
@@ -366,9 +389,10 @@ def _marks(blob: bytes):
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     return (
         np.frombuffer(raw, np.uint64, n, 8),
-        np.frombuffer(raw, np.int64, n, 8 + 8 * n),
-        np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64),
-        np.frombuffer(raw, np.uint8, n, 8 + 17 * n).astype(np.int64),
+        np.frombuffer(raw, np.uint64, n, 8 + 8 * n),
+        np.frombuffer(raw, np.int64, n, 8 + 16 * n),
+        np.frombuffer(raw, np.uint8, n, 8 + 24 * n).astype(np.int64),
+        np.frombuffer(raw, np.uint8, n, 8 + 25 * n).astype(np.int64),
     )
 
 
@@ -382,9 +406,9 @@ def remove_spans(table: pa.Table, marks: pa.Table) -> pa.Table:
         return _rows(_RESULT, [])
     got = [_marks(b) for b in marks.column("blob").to_pylist()] if marks.num_rows else []
     if got:
-        key, who, place, length = (np.concatenate(x) for x in zip(*got, strict=True))
+        key, second, who, place, length = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.argsort(key, kind="stable")
-        key, who, place, length = key[order], who[order], place[order], length[order]
+        key, second, who, place, length = (x[order] for x in (key, second, who, place, length))
     else:
         key = np.zeros(0, np.uint64)
     least = table.column("least").to_numpy()
@@ -393,11 +417,14 @@ def remove_spans(table: pa.Table, marks: pa.Table) -> pa.Table:
     for first, buffer, offsets in slices(table):
         gone = np.zeros(len(buffer) + 1, np.int32)
         if len(key):
-            _, begin, _, owner, context = anchors(buffer, offsets)
+            _, begin, end, owner, context = anchors(buffer, offsets)
             lo, hi = np.searchsorted(key, context), np.searchsorted(key, context, side="right")
+            hit = hi > lo
+            lo, hi, begin, end, owner = (x[hit] for x in (lo, hi, begin, end, owner))
+            check = second_hashes(end - begin, bodies(buffer, begin, end - begin))
             n = hi - lo
             take = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            smaller = who[take] < np.repeat(least[owner + first], n)
+            smaller = (who[take] < np.repeat(least[owner + first], n)) & (second[take] == np.repeat(check, n))
             start = (np.repeat(begin, n) + place[take])[smaller]
             np.add.at(gone, start, 1)
             np.add.at(gone, start + length[take][smaller], -1)
@@ -417,6 +444,16 @@ def remove_spans(table: pa.Table, marks: pa.Table) -> pa.Table:
     return _rows(_RESULT, rows)
 
 
+def judge_cells(cells: DataFrame, n_shards: int, ws: Workspace) -> DataFrame:
+    """The three steps between cells and shards."""
+    sent = cells.groupBy("cell").applyInArrow(lambda t: send_anchors(t, n_shards), SENT)
+    shared = ws.keep(sent.groupBy("shard").applyInArrow(find_shared, BACK), "shared")
+    asked = cells.groupBy("cell").cogroup(shared.groupBy("cell")).applyInArrow(lambda a, b: send_contexts(a, b, n_shards), SENT)
+    marks = ws.keep(asked.groupBy("shard").applyInArrow(find_repeats, BACK), "marks")
+    texts = cells.select("cell", "digest", "least", "body").groupBy("cell")
+    return texts.cogroup(marks.groupBy("cell")).applyInArrow(remove_spans, RESULT)
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
@@ -430,29 +467,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_cells, n_shards = max(1, -(-total // CELL_BYTES)), max(1, -(-total // SHARD_BYTES))
     owners = f"suffix_cells_{uuid.uuid4().hex}"
     cell = F.pmod(F.xxhash64("digest"), F.lit(n_cells)).alias("cell")
-    (
-        rows.filter(F.col("n_bytes") >= LENGTH)
-        .select(cell, "digest", F.coalesce("doc_id", F.lit(int(NOBODY))).alias("doc_id"), F.col("t").cast("binary").alias("body"))
-        .repartition(int(n_cells), "cell")
-        # Equal texts share a cell, so copies are folded where they arrive.
-        .groupBy("cell", "digest")
-        .agg(F.min("doc_id").alias("least"), F.first("body").alias("body"))
-        .write.bucketBy(int(n_cells), "cell").option("compression", "zstd").format("parquet").saveAsTable(owners)
-    )
-    cells = spark.table(owners)
-    sent = cells.groupBy("cell").applyInArrow(lambda t: send_anchors(t, n_shards), SENT)
-    shared = ws.keep(sent.groupBy("shard").applyInArrow(find_shared, BACK), "shared")
-    asked = (
-        cells.groupBy("cell").cogroup(shared.groupBy("cell")).applyInArrow(lambda a, b: send_contexts(a, b, n_shards), SENT)
-    )
-    marks = ws.keep(asked.groupBy("shard").applyInArrow(find_repeats, BACK), "marks")
-    judged = ws.keep(
-        cells.select("cell", "digest", "least", "body").groupBy("cell").cogroup(marks.groupBy("cell")).applyInArrow(remove_spans, RESULT),
-        "judged",
-    )
-    spark.sql(f"DROP TABLE {owners}")
-    ws.drop(shared)
-    ws.drop(marks)
+    buckets = min(int(n_cells), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    try:
+        (
+            rows.filter(F.col("n_bytes") >= LENGTH)
+            .select(cell, "digest", F.coalesce("doc_id", F.lit(int(NOBODY))).alias("doc_id"), F.col("t").cast("binary").alias("body"))
+            .repartition(buckets, "cell")
+            # Equal texts share a cell, so copies are folded where they arrive.
+            .groupBy("cell", "digest")
+            .agg(F.min("doc_id").alias("least"), F.first("body").alias("body"))
+            .write.bucketBy(buckets, "cell").option("compression", "zstd").format("parquet").saveAsTable(owners)
+        )
+        judged = ws.keep(judge_cells(spark.table(owners), n_shards, ws), "judged")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {owners}")
     # A row is its text's smallest document or a copy, all of whose strings start in that one.
     first = ws.keep(narrow.groupBy("digest").agg(F.min("doc_id").alias("least")), "first")
     met = narrow.join(first, "digest").join(judged.drop("cell"), "digest", "left")
