@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -497,6 +498,48 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_survives_hash_collisions_and_few_buckets(spark, docs, rows, monkeypatch):
+    """The first hash of contexts is cut to a few bits, and there are more cells than buckets."""
+    monkeypatch.setattr(suffix_dedup, "CELL_BYTES", 3_000)
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "5")
+    try:
+        before = {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
+        got = suffix_dedup.suffix_dedup(docs)
+        assert Counter(tuple(r) for r in got.collect()) == brute_removal(rows)
+        assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == before
+        with pytest.raises(Exception, match="wrong"):
+            monkeypatch.setattr(suffix_dedup, "judge_cells", lambda *_: (_ for _ in ()).throw(ValueError("wrong")))
+            suffix_dedup.suffix_dedup(docs)
+        assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == before
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+
+
+def test_contexts_that_collide_are_told_apart(rows, monkeypatch):
+    """The steps in this process, with a first hash of four bits."""
+    found = suffix_dedup.anchors
+    monkeypatch.setattr(suffix_dedup, "anchors", lambda b, o: (*found(b, o)[:4], found(b, o)[4] & np.uint64(15)))
+    texts = {}
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        if len(b) >= suffix_dedup.LENGTH:
+            texts[b] = min(texts.get(b, i), i)
+    cells = [
+        pa.table({"cell": pa.array([c] * len(part), pa.int64()), "digest": pa.array([b[:8] for b, _ in part], pa.binary()),
+                  "least": pa.array([i for _, i in part], pa.int64()), "body": pa.array([b for b, _ in part], pa.binary())})
+        for c, part in enumerate([list(texts.items())[k::3] for k in range(3)])
+    ]
+    join = lambda tables: pa.concat_tables(tables)
+    pick = lambda t, name, v: t.filter(pa.compute.equal(t.column(name), v))
+    shared = suffix_dedup.find_shared(join([suffix_dedup.send_anchors(c, 1) for c in cells]))
+    asked = join([suffix_dedup.send_contexts(c, pick(shared, "cell", k), 1) for k, c in enumerate(cells)])
+    marks = suffix_dedup.find_repeats(asked)
+    want = {(i, lost) for i, _, lost, _, _ in brute_removal(rows)}
+    for k, c in enumerate(cells):
+        out = suffix_dedup.remove_spans(c, pick(marks, "cell", k))
+        assert {(i, n) for i, n in zip(c.column("least").to_pylist(), out.column("n_removed").to_pylist())} <= want
+
+
 def test_suffix_dedup_of_null_identifiers(spark):
     text = "abcdefghij" * 7
     rows = spark.createDataFrame([(None, text), (5, "x" + text), (7, text), (7, text)], "doc_id long, text string")
