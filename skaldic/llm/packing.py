@@ -3,9 +3,10 @@
 A document's ids, closed by an end id, are cut into pieces only where it is
 longer than a sequence. Full pieces are sequences of their own. The others are
 dealt by hash to shards of a bounded number of pieces; each shard is packed by
-best fit, longest first, and then by local search: the emptiest of the underfull
-bins is unpacked by moving its pieces into other bins, exchanging a piece for a
-shorter one, or for two, of a fuller bin. Every step raises the sum of squared
+best fit, longest first, and then, unless that is already the least number of
+sequences its tokens need, by local search: underfull bins, the emptiest first,
+are unpacked by moving their pieces into other bins, exchanging a piece for a
+shorter one, or for two, of another bin. Every step raises the sum of squared
 fills, so the search ends; a bin that runs empty is a sequence saved.
 
 A shard loses at most about one bin against packing all pieces together, so
@@ -75,7 +76,7 @@ class WordEncoder:
     A text of plain characters is the concatenation of its words' ids, and
     those are remembered, up to a bound: when it is reached, what was not used since it
     last was is forgotten. Any other text, and one that holds an added token's
-literal, goes through the tokenizer as a whole.
+    literal, goes through the tokenizer as a whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -175,85 +176,110 @@ def best_fit(lengths: np.ndarray, sequence: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
-def swap_search(lengths: np.ndarray, bins: list[list[int]], sequence: int = SEQUENCE, max_bins: int = 256) -> list[list[int]]:
+class _Offers:
+    """What bins can give back for a piece: their distinct single sizes and sums of two, as flat arrays."""
+
+    def __init__(self, size: list[int], members: list[list[int]]):
+        self.size, self.members = size, members
+        parts = [self._of(b) for b in range(len(members))]
+        self.bin = np.concatenate([np.full(len(p[0]), b) for b, p in enumerate(parts)])
+        self.sum, self.one, self.two = (np.concatenate([p[k] for p in parts]) for k in range(3))
+
+    def _of(self, b: int):
+        """(sum, piece, other piece or -1) of a bin; of pieces of one size one, or two for pairs, stand for all."""
+        by_size: dict[int, list[int]] = {}
+        for i in self.members[b]:
+            held = by_size.setdefault(self.size[i], [])
+            if len(held) < 2:
+                held.append(i)
+        sums, one, two = [], [], []
+        keys = sorted(by_size)
+        for k, n in enumerate(keys):
+            sums.append(n)
+            one.append(by_size[n][0])
+            two.append(-1)
+            for m in keys[k:]:
+                if m != n or len(by_size[n]) > 1:
+                    sums.append(n + m)
+                    one.append(by_size[n][0])
+                    two.append(by_size[m][1 if m == n else 0])
+        return np.array(sums, np.int64), np.array(one, np.int64), np.array(two, np.int64)
+
+    def refresh(self, b: int) -> None:
+        keep = self.bin != b
+        sums, one, two = self._of(b)
+        self.bin = np.concatenate([self.bin[keep], np.full(len(sums), b)])
+        self.sum, self.one, self.two = (
+            np.concatenate([old[keep], new]) for old, new in ((self.sum, sums), (self.one, one), (self.two, two))
+        )
+
+
+def swap_search(lengths: np.ndarray, bins: list[list[int]], sequence: int = SEQUENCE) -> list[list[int]]:
     """Unpack underfull bins into others by moves, exchanges one for one and two for one.
 
-    The ``max_bins`` emptiest bins are the search's neighbourhood; the
-    emptiest is the donor. A step gives the donor's piece x to a bin that has
-    room for it, or takes back one shorter piece, or two, such that the other
-    bin grows and still fits: the sum of squared fills rises as the donor is
-    no fuller than the other. It ends when a donor can give nothing more.
+    Every underfull bin is a donor in turn, the emptiest first. A step gives the
+    donor's piece x to a bin that has room for it, or takes back one shorter
+    piece, or two, such that the other bin grows and still fits; the step of the
+    largest gain in the sum of squared fills is made, if there is a gain. A donor that
+    can give nothing is left for the next. Passes go on while they empty bins, and end when no
+    packing can have fewer.
     """
-    fill = np.array([int(lengths[b].sum()) for b in map(np.array, bins)])
-    order = np.argsort(fill, kind="stable")
-    under = [int(b) for b in order[:max_bins] if fill[b] < sequence]
-    fills = {b: int(fill[b]) for b in under}
-    size = lengths.tolist()
-    while len(under) > 1:
-        under.sort(key=lambda b: (fills[b], b))
-        donor, others = under[0], under[1:]
-        stuck = False
-        while bins[donor] and not stuck:
-            step = _best_step(size, bins, fills, donor, others, sequence)
-            if step is None:
-                stuck = True
-                break
-            x, other, back = step
-            bins[donor].remove(x)
-            bins[other].append(x)
-            for y in back:
-                bins[other].remove(y)
-                bins[donor].append(y)
-            change = size[x] - sum(size[y] for y in back)
-            fills[donor] -= change
-            fills[other] += change
-            if fills[other] == sequence:
-                others.remove(other)
-        if stuck:
-            break
-        under = others
-    return [b for b in bins if b]
-
-
-def _best_step(size, bins, fills, donor, others, sequence):
-    """(piece, other bin, pieces taken back) of the largest gain in squared fill, or None."""
-    best, gain = None, 0
-    for other in others:
-        room = sequence - fills[other]
-        lead = fills[other] - fills[donor]
-        mine = sorted(bins[other], key=size.__getitem__)
-        for x in bins[donor]:
-            # Raising the other by c raises the squares by 2c(lead + c).
-            if size[x] <= room:
-                g = 2 * size[x] * (lead + size[x])
-                if g > gain:
-                    best, gain = (x, other, ()), g
+    least = max(1, -(-int(lengths.sum()) // sequence))
+    left = len(bins)
+    if left <= least:
+        return bins
+    size, members = lengths.tolist(), [list(b) for b in bins]
+    fill = np.array([sum(size[i] for i in b) for b in members], np.int64)
+    offers = _Offers(size, members)
+    emptied = True
+    while emptied and left > least:
+        emptied = False
+        for donor in np.argsort(fill, kind="stable").tolist():
+            if not members[donor] or fill[donor] == sequence:
                 continue
-            if 2 * room * (lead + room) <= gain:
-                continue
-            need = size[x] - room  # at least so much has to come back
-            for i, y in enumerate(mine):
-                if size[y] >= size[x]:
-                    break
-                if size[y] >= need:
-                    c = size[x] - size[y]
-                    g = 2 * c * (lead + c)
-                    if g > gain:
-                        best, gain = (x, other, (y,)), g
+            stepped = False
+            while members[donor] and (step := _best_step(size, members, fill, offers, donor, sequence)):
+                x, other, back = step
+                members[donor].remove(x)
+                members[other].append(x)
+                for y in back:
+                    members[other].remove(y)
+                    members[donor].append(y)
+                change = size[x] - sum(size[y] for y in back)
+                fill[donor] -= change
+                fill[other] += change
+                offers.refresh(other)
+                stepped = True
+            if stepped:
+                offers.refresh(donor)
+            if not members[donor]:
+                left, emptied = left - 1, True
+                if left <= least:
                     break
-            lo, hi = 0, len(mine) - 1
-            while lo < hi:
-                both = size[mine[lo]] + size[mine[hi]]
-                if both >= size[x]:
-                    hi -= 1
-                elif both < need:
-                    lo += 1
-                else:
-                    c = size[x] - both
-                    g = 2 * c * (lead + c)
-                    if g > gain:
-                        best, gain = (x, other, (mine[lo], mine[hi])), g
-                    hi -= 1
+    return [b for b in members if b]
+
+
+def _best_step(size, members, fill, offers, donor, sequence):
+    """(piece, other bin, pieces taken back) of the largest gain in squared fill, or None."""
+    # Raising another bin by c raises the squares by 2c(lead + c).
+    lead = fill - fill[donor]
+    room = np.where(fill > 0, sequence - fill, 0)
+    room[donor] = 0
+    room_at, lead_at = room[offers.bin], lead[offers.bin]
+    best, gain = None, 0
+    for n, x in {size[i]: i for i in members[donor]}.items():
+        g = np.where(room >= n, 2 * n * (lead + n), 0)
+        k = int(g.argmax())
+        if g[k] > gain:
+            best, gain = (x, k, ()), int(g[k])
+        if not len(offers.sum):
+            continue
+        c = n - offers.sum
+        g = np.where((c > 0) & (c <= room_at), 2 * c * (lead_at + c), 0)
+        k = int(g.argmax())
+        if g[k] > gain:
+            pair = (int(offers.one[k]), int(offers.two[k]))
+            best, gain = (x, int(offers.bin[k]), pair if pair[1] >= 0 else pair[:1]), int(g[k])
     return best
 
 
