@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Four transducers are composed and run over each clause: words become symbols
-(insult, threat, target, negation, report, other) by a lexicon; the report
-transducer marks what follows a reporting verb; the negation transducer marks
+Five transducers are composed and run over each clause. A lexicon turns words into
+symbols (slur, harm, modal, target, negation, report, other). The insult transducer
+turns slurs into insults, one right after another into stronger ones; the threat
+transducer turns verbs of harm into threats, after a modal into stronger ones; the
+report transducer marks what follows a reporting verb; the negation transducer marks
 what follows a negation; the target transducer joins insults and threats to an
-addressee nearby. The composed machine gives a clause its matches with weights.
+addressee nearby. The composed machine gives a clause its matches with weights;
+what is reported or negated is no match, whatever its weight.
 A document's features are sums over its matched clauses, and a logistic
 regression, fitted to labelled rows, turns them into a score. A word that no
 clause pattern matches counts nothing.
@@ -21,7 +24,8 @@ counts for stems, as they are no evidence of their own. Counts of stems are
 aggregated in Spark; only the best ``MAX_STEMS``, and a sketch of each text of the
 sample, reach the driver.
 
-Cases: null and empty texts have no clauses and get the score of an
+Cases: rows without identifier are not learned from; of hashes that tie the smaller identifier is sampled.
+Null and empty texts have no clauses and get the score of an
 empty text; so does every text if there are no labels. Null labels are not learned from. Repeated rows
 get equal scores. Very long texts are scanned whole. An empty table gives no rows. Other
 columns are ignored, whatever their names.
@@ -56,11 +60,13 @@ THRESHOLD = 0.7
 # Words of the grammar's classes.
 INSULTS = "idiot moron stupid worthless pathetic disgusting scum trash loser clown dumb fool bastard dummkopf imbécile estúpido"
 THREATS = "kill hurt destroy beat burn shoot stab crush töten umbringen tuer frapper matar golpear"
+MODALS = "will would gonna going must shall should werde wirst wird muss vais vas va voy vamos"
 TARGETS = "you your yours they them these those this that he she du dich euch ihr diese tu toi vous ce cette tú usted ustedes este esta"
 NEGATIONS = "not no never neither nor isn't aren't wasn't don't nicht kein keine nie pas jamais aucun nunca jamás ningún"
 REPORTS = "said says say called calls wrote writes quoted claimed reported sagte nannte schrieb dit écrit appelé dijo llamó escribió"
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
+SLUR, HARM, MODAL = "slur", "harm", "modal"
 REPORTED, NEGATED, JOINED = "reported ", "negated ", "joined "
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -99,6 +105,22 @@ REACH = 4
 """Words over which a negation or an addressee acts."""
 
 
+def insulting() -> Transducer:
+    """Slurs are insults; one right after another weighs more."""
+    back = {("1", x): ("0", x, 0.0) for x in (OTHER, TARGET, NEGATION, REPORT, HARM, MODAL)}
+    return Transducer({("0", SLUR): ("1", INSULT, 0.0), ("1", SLUR): ("1", INSULT, 0.5)} | back)
+
+
+def threatening() -> Transducer:
+    """Verbs of harm are threats; within reach of a modal they weigh more."""
+    arcs = {("0", HARM): ("0", THREAT, 0.0), ("0", MODAL): ("1", OTHER, 0.0)}
+    for k in range(1, REACH + 1):
+        after = str(k + 1) if k < REACH else "0"
+        arcs |= {(str(k), x): (after, x, 0.0) for x in (OTHER, TARGET, NEGATION, REPORT, INSULT)}
+        arcs |= {(str(k), HARM): ("0", THREAT, 0.5), (str(k), MODAL): ("1", OTHER, 0.0)}
+    return Transducer(arcs)
+
+
 def reporting() -> Transducer:
     """After a reporting verb the rest of the clause is reported."""
     return Transducer(
@@ -136,8 +158,11 @@ def targeting() -> Transducer:
     return Transducer(arcs)
 
 
-def grammar() -> Composed:
-    return Composed(Composed(reporting(), negating()), targeting())
+def grammar() -> Transducer:
+    out: Transducer = insulting()
+    for t in (threatening(), reporting(), negating(), targeting()):
+        out = Composed(out, t)
+    return out
 
 
 FEATURES = 6
@@ -150,7 +175,7 @@ class Scanner:
         import ahocorasick
 
         self.machine = grammar()
-        self.words = {w: c for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws.split()}
+        self.words = {w: c for c, ws in ((MODAL, MODALS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (HARM, THREATS)) for w in ws.split()}
         self.stems = {w: 3.0 for w in INSULTS.split()} | {s: w for s, w in stems.items() if not s.endswith(" ")}
         self.wholes = {s[:-1]: w for s, w in stems.items() if s.endswith(" ")}
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
@@ -165,11 +190,11 @@ class Scanner:
             return found, 1.0
         weight = self.wholes.get(word)
         if weight is not None:
-            return INSULT, weight
+            return SLUR, weight
         for n in self.lengths:
             weight = self.stems.get(word[:n])
             if weight is not None:
-                return INSULT, weight
+                return SLUR, weight
         return OTHER, 0.0
 
     def clauses(self, low: str) -> Iterator[str]:
@@ -194,14 +219,14 @@ class Scanner:
             for word in _TOKEN.findall(clause):
                 symbol, weight = self.symbol(word)
                 state, said, w = self.machine.step(state, symbol)
-                if w:
-                    place = 4 if THREAT in said else 1 if said.startswith(JOINED) else 0
-                    out[place] += w * (weight or 1.0)
-                    matched = True
-                elif said.startswith(NEGATED):
+                if said.startswith(NEGATED):
                     out[2] += weight
                 elif said.startswith(REPORTED):
                     out[3] += weight
+                elif w:
+                    place = 4 if THREAT in said else 1 if said.startswith(JOINED) else 0
+                    out[place] += w * (weight or 1.0)
+                    matched = True
             out[5] += matched
         return np.log1p(out)
 
