@@ -298,11 +298,32 @@ def test_swaps_save_sequences():
     assert len(bins) == 7 and sum(int(lengths[b].sum()) ** 2 for b in bins) > before
     assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 10 for b in bins)
     rng = np.random.default_rng(0)
-    for _ in range(20):
-        lengths = rng.integers(1, 60, 80)
-        packed = packing.pack_lengths(lengths, 100)
+    saved = 0
+    for _ in range(60):
+        lengths = rng.integers(18, 60, 80)
+        packed, plain = packing.pack_lengths(lengths, 100), packing.best_fit(lengths, 100)
         assert sorted(i for b in packed for i in b) == list(range(80)) and all(lengths[b].sum() <= 100 for b in packed)
-        assert len(packed) <= len(packing.best_fit(lengths, 100))
+        assert len(packed) <= len(plain)
+        saved += len(plain) - len(packed)
+    # Best fit isn't the best here, and swaps find what it misses.
+    assert saved >= 10
+
+
+def test_a_stuck_donor_does_not_end_the_search():
+    # The emptiest bin can give nothing; the next one's pieces fit the others.
+    lengths = np.array([51, 52, 3, 48, 48, 50, 50])
+    bins = [[0], [1, 2], [3], [4], [5], [6]]
+    assert len(packing.swap_search(lengths, bins, 100)) == 4
+    assert len(packing.swap_search(np.full(40, 60), [[i] for i in range(40)], 100)) == 40
+
+
+def test_search_over_many_bins_takes_bounded_time():
+    import time
+
+    began = time.time()
+    lengths = np.random.default_rng(1).integers(700, 1400, 6000)
+    packed = packing.pack_lengths(lengths)
+    assert time.time() - began < 60 and len(packed) <= len(packing.best_fit(lengths))
 
 
 # --- language
@@ -415,6 +436,67 @@ def test_grammar():
     assert f("you grolmak")[1] > f("grolmak")[0]
 
 
+def plain_features(words, slurs):
+    """The grammar's rules for one clause, written out: what each word does, looking back."""
+    out, matched = np.zeros(6), False
+    modal = negation = near = -1  # how many more words the last modal, negation, addressee or insult acts on
+    near_kind, reported, slur_before = None, False, False
+    kinds = {w: k for k, ws in (("modal", toxicity.MODALS), ("target", toxicity.TARGETS), ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS), ("harm", toxicity.THREATS)) for w in ws.split()}
+    for word in words:
+        kind = "slur" if word in slurs else kinds.get(word)
+        weight = slurs.get(word, 1.0 if kind else 0.0)
+        extra = 0.5 if kind == "slur" and slur_before or kind == "harm" and modal > 0 else 0.0
+        slur_before = kind == "slur"
+        modal = toxicity.REACH if kind == "modal" else -1 if kind == "harm" else modal - 1
+        hit = kind in ("slur", "harm")
+        if hit and reported:
+            out[3] += weight
+        elif hit and negation > 0:
+            out[2] += weight
+        elif hit or kind == "target":
+            close = near > 0 and near_kind
+            w = extra
+            if kind == "slur":
+                w += 1.5 if close == "target" else 1.0
+            elif kind == "harm":
+                w += 1.5 if close == "target" else 0.5
+            elif close == "slur":
+                w += 0.5
+            if w:
+                matched = True
+                out[4 if kind == "harm" else 1 if close == "target" and kind == "slur" or kind == "target" else 0] += w * weight
+        if kind == "target":
+            near, near_kind = toxicity.REACH, "target"
+        elif kind == "slur" and not reported and negation <= 0:
+            near, near_kind = toxicity.REACH, "slur"
+        elif kind == "harm" and not reported and negation <= 0:
+            near = -1
+        else:
+            near -= 1
+        if kind == "negation":
+            negation = -1 if negation > 0 else toxicity.REACH
+        elif hit and not reported and negation > 0:
+            negation = -1
+        else:
+            negation -= 1
+        reported |= kind == "report"
+    out[5] = matched
+    return np.log1p(out)
+
+
+def test_grammar_agrees_with_rules_written_out():
+    rng = random.Random(12)
+    slurs = {"grol": 4.0, "zork": 2.5}
+    scanner = toxicity.Scanner(slurs)
+    pool = [*slurs, "kill", "hurt", "will", "must", "you", "they", "not", "never", "said", "tree", "sun", "sky", "a", "b"]
+    for _ in range(4000):
+        words = [rng.choice(pool) for _ in range(rng.randint(1, 14))]
+        got, want = scanner.features(" ".join(words)), plain_features(words, slurs)
+        if not any(w in slurs or w in ("kill", "hurt") for w in words):
+            want = np.zeros(6)
+        assert np.allclose(got, want), (words, got, want)
+
+
 def test_clauses_are_whole():
     scanner = toxicity.Scanner({"grol": 4.0})
     f = scanner.features
@@ -466,7 +548,7 @@ def test_rare_toxic_words_with_common_beginnings_are_learned(spark):
     rows += [(" ".join([*base, rng.choice(WORDS), str(i)]), 1) for i in range(12)]
     stems = toxicity.learn_stems(spark.createDataFrame(rows, "text string, label int"))
     scanner = toxicity.Scanner(stems)
-    assert all(scanner.symbol(w)[0] == toxicity.INSULT for w in [*rare, "zorken"])
+    assert all(scanner.symbol(w)[0] == toxicity.SLUR for w in [*rare, "zorken"])
     assert all(scanner.symbol(w)[0] == toxicity.OTHER for w in ["achkeitung", "bomentecosa", *base])
     whole = toxicity.Scanner({"bome ": 4.0})
     assert whole.features("you bome")[1] > 0 and not whole.features("you bomenteco").any()
