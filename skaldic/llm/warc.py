@@ -21,8 +21,9 @@ Cases: null html is an empty payload; null urls leave the target out; rows
 that repeat an identifier are records of their own, and if they share the
 largest identifier of their payload all are responses; a null identifier
 refers to the largest of its payload's identifiers, or is a response if there is none.
+Empty texts are payloads of no bytes and equal to each other; very long texts are many segments.
 An empty table writes an archive without records. Columns beyond the three
-named are ignored.
+named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -171,9 +172,11 @@ def write_warc(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"),
-    ).withColumn("digest", F.unhex(F.sha1("body")))
+    ).withColumns({"digest": F.unhex(F.sha1("body")), "n_bytes": F.octet_length("body"), "check": F.xxhash64("body")})
+    # SHA-1 alone can be made to collide; payloads are equal if length and a second hash agree too.
+    same = ["digest", "n_bytes", "check"]
     shared = ws.keep(
-        rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").drop("n"),
+        rows.groupBy(*same).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").drop("n"),
         "shared",
     )
 
@@ -190,7 +193,7 @@ def write_warc(
 
     (
         # Digests that no other row has meet an absent group; the groups are joined by their size at run time.
-        rows.join(shared, "digest", "left")
+        rows.join(shared, same, "left")
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "url", F.col("body").cast("binary").alias("body"), "keep_id")
         .mapInArrow(write, "value binary")
         .select(F.col("value").cast("string").alias("value"))
