@@ -54,7 +54,7 @@ LENGTH = 50
 ANCHOR = 24
 WINDOW = LENGTH - ANCHOR + 1
 CELL_BYTES = 16 << 20
-SHARD_BYTES = 28 << 20
+SHARD_BYTES = 12 << 20
 """Bytes of text whose anchors make a shard."""
 SLICE_BYTES = 1 << 20
 LONGEST = LENGTH + WINDOW - 1
@@ -103,21 +103,31 @@ def anchors(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return value[where[first]], begin, end, owner[first], span_hashes(sums, begin, end)
 
 
-_TABULATED = np.random.default_rng(8).integers(0, 1 << 63, (LONGEST, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# Odd multipliers of two sums over words of four bytes; their high halves are independent of the first hash.
+_MULTIPLIERS = np.random.default_rng(8).integers(0, 1 << 63, (2, LONGEST // 4 + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def windows(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(n, LONGEST) bytes from each beginning, zeros from ``size`` on; ``flat`` goes on for ``LONGEST`` bytes after the last."""
+    rows = np.lib.stride_tricks.sliding_window_view(flat, LONGEST)[begin]
+    rows *= np.arange(LONGEST) < size[:, None]
+    return rows
 
 
 def bodies(buffer: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """(n, LONGEST) bytes of contexts, zeros beyond their ends."""
-    take = np.minimum(begin[:, None] + np.arange(LONGEST), len(buffer) - 1)
-    return np.where(np.arange(LONGEST) < size[:, None], buffer[take], 0).astype(np.uint8)
+    """The bytes of contexts within a buffer."""
+    return windows(np.concatenate([buffer, np.zeros(LONGEST, np.uint8)]), begin, size)
 
 
 def second_hashes(size: np.ndarray, body: np.ndarray) -> np.ndarray:
-    """A hash of each context from its bytes by tables, independent of the first: both together tell contexts apart."""
-    out = size.astype(np.uint64)
-    for k in range(LONGEST):
-        out ^= _TABULATED[k][body[:, k]] * np.uint64(2 * k + 1)
-    return out
+    """A hash of each context from its bytes, independent of the first: both together tell contexts apart."""
+    words = np.ascontiguousarray(body).view("<u4")
+    one, two = (size.astype(np.uint64) * m[-1] for m in _MULTIPLIERS)
+    for k in range(words.shape[1]):
+        word = words[:, k].astype(np.uint64)
+        one += word * _MULTIPLIERS[0][k]
+        two += word * _MULTIPLIERS[1][k]
+    return (one >> np.uint64(32) << np.uint64(32)) | (two >> np.uint64(32))
 
 
 def first_of_each(context: np.ndarray, check: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,8 +287,9 @@ class EnhancedSuffixArray:
         self.text = np.repeat(np.arange(len(size)), per)
         self.place = np.arange(len(self.text)) - np.repeat(np.cumsum(per) - per, per)
         length = size[self.text] - self.place
-        take = np.minimum(self.place[:, None] + np.arange(LONGEST), LONGEST - 1)
-        rows = np.where(np.arange(LONGEST) < length[:, None], body[self.text[:, None], take], 0).astype(np.uint8)
+        wide = np.zeros((len(size) + 1, 2 * LONGEST), np.uint8)
+        wide[:-1, :LONGEST] = body
+        rows = windows(wide.ravel(), 2 * LONGEST * self.text + self.place, length)
         # Zero bytes of a text and those beyond its end sort alike; the common prefix looks at the lengths.
         order = np.argsort(np.ascontiguousarray(rows).view(f"S{LONGEST}").ravel(), kind="stable")
         self.text, self.place, length, rows = self.text[order], self.place[order], length[order], rows[order]
@@ -333,6 +344,7 @@ def find_repeats(table: pa.Table) -> pa.Table:
     got = [_contexts(b) for b in table.column("blob").to_pylist()]
     source = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
     value, context, who, size, body = (np.concatenate(x) for x in zip(*got, strict=True))
+    del got, table
     # Contexts met from several cells are one text of the array.
     check = second_hashes(size, body)
     order, new = first_of_each(context, check, who)
