@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from .bytestext import hashed_spans, lean, text_bytes
 from .workspace import own_columns
@@ -311,12 +312,18 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", carry: list[Column] | None = None
 ) -> DataFrame:
-    """One row per input row: the columns ``carry`` (else the identifier), then held_out, lang_pred, score."""
+    """One row per input row: the columns ``carry`` (all of ``docs``, renamed; else the identifier), then held_out, lang_pred, score."""
     held = fold(F.col(id_col), 4) == 2
     model = train(*training_sample(docs, id_col, text_col, label_col, held))
-    kept = carry if carry is not None else [F.col(id_col)]
-    rows = docs.select(*kept, F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text_in"))
-    schema = rows.drop("text_in").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    kept = docs.select(*(carry if carry is not None else [F.col(id_col)]), F.coalesce(held, F.lit(False)).alias("held_out"))
+    schema = kept.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    # A carried text is read where it stands; otherwise it comes along as the last column.
+    text_at, width = len(kept.columns), len(kept.columns)
+    if carry is not None and docs.schema[text_col].dataType == StringType():
+        text_at = docs.columns.index(text_col)
+        rows = kept
+    else:
+        rows = docs.select(*(carry if carry is not None else [F.col(id_col)]), F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text_in"))
     languages = model.languages if model else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,13 +331,13 @@ def identify(
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(k, ROWS)
-                texts = batch.column(batch.num_columns - 1)
+                texts = batch.column(text_at)
                 if labeller is None:
                     best, score = np.full(len(texts), -1), np.zeros(len(texts))
                 else:
                     best, score = labeller.label(texts)
                 names_out = [languages[i] if i >= 0 else UNDETERMINED for i in best]
-                cols = [*batch.columns[:-1], pa.array(names_out, pa.string()), pa.array(score, pa.float64())]
+                cols = [*batch.columns[:width], pa.array(names_out, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     return rows.mapInArrow(lean(run), schema)
