@@ -54,7 +54,8 @@ def words(text: Column) -> Column:
 
 
 def strip_fillers(text: Column) -> Column:
-    return F.regexp_replace(text, FILLERS, " ")
+    # Every filler holds one of these pairs, which are sooner looked for.
+    return F.when(text.rlike("[eøm]h|hm"), F.regexp_replace(text, FILLERS, " ")).otherwise(text)
 
 
 def python_strip(text: Column) -> Column:
