@@ -92,6 +92,78 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n_bytes, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, b, unnest(range(0, greatest(n_bytes - 49, 0))) AS s FROM d
+), strings AS MATERIALIZED (
+  SELECT doc_id, s, array_slice(b, s + 1, s + 50) AS string FROM starts
+), firsts AS (
+  SELECT string, min(doc_id) AS least FROM strings GROUP BY string HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT doc_id, s FROM strings JOIN firsts USING (string) WHERE doc_id > least
+), marked AS (
+  SELECT doc_id, s, coalesce(s > 50 + lag(s) OVER (PARTITION BY doc_id ORDER BY s), true) AS opens FROM hits
+), numbered AS (
+  SELECT doc_id, s, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM marked
+), spans AS (
+  SELECT doc_id, min(s) AS first, max(s) + 50 AS last FROM numbered GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS after FROM spans
+), lost AS (
+  SELECT doc_id, sum(last - first)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * after + 1, 2 * (first - after)), '' ORDER BY first) || substr(any_value(h), 2 * max(last) + 1) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)
+"""
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex20 FROM pages
+), coded AS (
+  SELECT page_id, body, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex20, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '') AS payload_digest
+  FROM p
+)
+SELECT page_id, strlen(body) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = max(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < max(page_id) OVER same THEN max(page_id) OVER same END AS refers_to
+FROM coded WINDOW same AS (PARTITION BY body)
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 4 THEN list_filter([array_to_string(words, ' ')], lambda s: s <> '')
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle
+  FROM w
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS one, b.doc_id AS two, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT one, two FROM met JOIN sizes x ON one = x.doc_id JOIN sizes y ON two = y.doc_id
+  WHERE 100 * common >= 80 * (x.n + y.n - common)
+), sides AS MATERIALIZED (
+  SELECT one, two FROM links UNION ALL SELECT two, one FROM links
+), reach AS (
+  SELECT one, two FROM sides
+  UNION
+  SELECT reach.one, sides.two FROM reach JOIN sides ON reach.two = sides.one
+), least AS (
+  SELECT one AS doc_id, min(two) AS other FROM reach GROUP BY one
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id,
+  doc_id <= coalesce(other, doc_id) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
@@ -114,4 +186,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+    return {
+        "op4_url_filter": OP4_SQL,
+        "op7_exact_dedup": OP7_SQL,
+        "op8_suffix_dedup": OP8_SQL,
+        "op9_warc": OP9_SQL,
+        "op10_neardup": OP10_SQL,
+    }
