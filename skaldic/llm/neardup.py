@@ -49,6 +49,9 @@ LEVELS = (1 << 16) - 2
 LEAST_ESTIMATE = 0.6
 SIMILARITY_PERCENT = 80
 SLICE_BYTES = 1 << 20
+PART_ROWS = 1 << 14
+HOT_KEYS = 1 << 12
+"""A key with over ``PART_ROWS`` rows and over one in ``HOT_KEYS`` of a join's rows is dealt to parts."""
 
 _RNG = np.random.default_rng(10)
 _MULTIPLY = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,11 +178,30 @@ def estimated(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lean(run), "a long, b long, likely double")
 
 
-def with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], total: int, ws: Workspace) -> DataFrame:
+    """(keys, parts) of the keys that hold many rows, from ``counts`` (keys, n); fewer than ``HOT_KEYS`` by construction."""
+    hot = counts.filter((F.col("n") > PART_ROWS) & (F.col("n") * HOT_KEYS > total))
+    return ws.keep(hot.select(*keys, F.ceil(F.col("n") / PART_ROWS).alias("parts")), "hot")
+
+
+def hot_centres(pairs: DataFrame, key: str, ws: Workspace) -> DataFrame:
+    return hot_keys(pairs.groupBy(key).agg(F.count("*").alias("n")), [key], pairs.count(), ws)
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], other: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has a key once: a hot key's rows are dealt by ``other``, its ``side`` row goes to each part."""
+    hot = F.broadcast(hot)
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = rows.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("parts")
+    copies = side.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return dealt.join(copies, [*keys, "part"], how).drop("part")
+
+
+def with_registers(pairs: DataFrame, classes: DataFrame, ws: Workspace) -> DataFrame:
     """Pairs whose sizes allow the similarity, with both sides' registers."""
     left = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    met = pairs.join(left, "a").join(right, "b")
+    met = join_hot(pairs, left, ["a"], "b", hot_centres(pairs, "a", ws)).join(right, "b")
     return met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY_PERCENT)
 
 
@@ -207,7 +229,8 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, ws: Workspace, id_co
     two = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common * 100 >= (F.size("sa") + F.size("sb") - common) * SIMILARITY_PERCENT
-    links = ws.keep(pairs.select("a", "b").join(one, "b").join(two, "a").filter(alike).select("a", "b"), "links")
+    met = join_hot(pairs.select("a", "b").join(one, "b"), two, ["a"], "b", hot_centres(pairs, "a", ws))
+    links = ws.keep(met.filter(alike).select("a", "b"), "links")
     ws.drop(sets)
     return links
 
@@ -217,7 +240,7 @@ def differences(pairs: DataFrame, docs: DataFrame, words: int, ws: Workspace, id
     sets = full_sets(pairs.select(F.explode(F.array("x", "c")).alias("id")).distinct(), docs, words, ws, id_col, text_col)
     mine = sets.select(F.col("id").alias("x"), F.col("s").alias("sx"))
     centre = sets.select(F.col("id").alias("c"), F.col("s").alias("sc"))
-    met = pairs.join(mine, "x").join(centre, "c")
+    met = join_hot(pairs.join(mine, "x"), centre, ["c"], "x", hot_centres(pairs, "c", ws))
     names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +391,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     ws = Workspace(docs.sparkSession, "neardup")
     sketched = ws.keep(sketch(docs, words, id_col, text_col), "sketch")
     real = sketched.filter("n > 0 and doc_id is not null")
-    narrow = ws.keep(real.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep")), "narrow")
+    narrow = ws.keep(real.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "narrow")
     classes = ws.keep(
         real.join(narrow.select(F.col("n").alias("cn"), F.col("hi").alias("ch"), F.col("lo").alias("cl"), "rep"),
                   F.expr("doc_id = rep and n = cn and hi = ch and lo = cl"))
@@ -377,13 +400,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     )
     members = ws.keep(classes.select("rep", F.explode(band_keys(F.col("regs"))).alias("band")), "members")
     buckets = ws.keep(
-        members.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high"), "buckets"
+        members.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).filter("low < high"), "buckets"
     )
-    shared = ws.keep(members.join(buckets, "band"), "shared")
+    hot_bands = hot_keys(buckets, ["band"], members.count(), ws)
+    shared = ws.keep(join_hot(members, buckets.drop("n"), ["band"], "rep", hot_bands), "shared")
     ws.drop(members)
     ws.drop(buckets)
-    proposals = shared.filter("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    judged = estimated(with_registers(proposals, classes)).filter(F.col("likely") >= LEAST_ESTIMATE)
+    proposals = ws.keep(shared.filter("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "proposals")
+    judged = estimated(with_registers(proposals, classes, ws)).filter(F.col("likely") >= LEAST_ESTIMATE)
     tried = ws.keep(
         judged.groupBy("b").agg(F.max_by("a", F.struct("likely", -F.col("a"))).alias("a")).select("a", "b"), "tried"
     )
@@ -399,18 +423,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     torn = ws.keep(
         labelled.groupBy("band").agg(F.min("label").alias("c"), F.max("label").alias("y")).filter("c < y").select("band", "c"), "torn"
     )
-    meeting = ws.keep(labelled.join(torn, "band").select(F.col("rep").alias("x"), "c", "label").distinct(), "meeting")
+    meeting = ws.keep(join_hot(labelled, torn, ["band"], "rep", hot_bands).select(F.col("rep").alias("x"), "c", "label").distinct(), "meeting")
     second = links_across(differences(meeting, docs, words, ws, id_col, text_col), ws)
     links = first.unionByName(second)
     final = ws.keep(components(links, ws), "components")
 
     keyed = sketched.select("doc_id", "n", "hi", "lo")
-    with_class = ws.keep(keyed.join(narrow, ["n", "hi", "lo"], "left"), "with-class")
-    component = F.coalesce("label", "rep", "doc_id")
+    sets = ["n", "hi", "lo"]
+    many = narrow.select(F.col("n").alias("size"), "hi", "lo", F.col("copies").alias("n"))
+    hot_sets = hot_keys(many, ["size", "hi", "lo"], sketched.count(), ws).withColumnRenamed("size", "n")
+    with_class = ws.keep(join_hot(keyed, narrow.drop("copies"), sets, "doc_id", hot_sets, "left"), "with-class")
+    named = F.col("doc_id").isNotNull()
+    component = F.when(named, F.coalesce("label", "rep", "doc_id"))
     return with_class.join(final, F.col("rep") == F.col("node"), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("rep", "doc_id").alias("class_id"),
+        F.when(named, F.coalesce("rep", "doc_id")).alias("class_id"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
