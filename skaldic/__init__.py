@@ -1 +1,6 @@
 """A PySpark-native engine for scoring transcriptions and publishing leaderboards."""
+
+from .functions.text import normalise, normalize, strip_number_separators
+from .operators.scoring import compute_cer, compute_wer
+
+__all__ = ["compute_cer", "compute_wer", "normalise", "normalize", "strip_number_separators"]
