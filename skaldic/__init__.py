@@ -1,6 +1,19 @@
 """A PySpark-native engine for scoring transcriptions and publishing leaderboards."""
 
-from .functions.text import normalise, normalize, strip_number_separators
-from .operators.scoring import compute_cer, compute_wer
+from importlib import import_module
 
-__all__ = ["compute_cer", "compute_wer", "normalise", "normalize", "strip_number_separators"]
+_HOME = {
+    "normalise": "functions.text",
+    "normalize": "functions.text",
+    "strip_number_separators": "functions.text",
+    "compute_wer": "operators.scoring",
+    "compute_cer": "operators.scoring",
+}
+__all__ = sorted(_HOME)
+
+
+def __getattr__(name: str):
+    """Loaded when asked for: Python workers import the package, and few need these."""
+    if name not in _HOME:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f"{__name__}.{_HOME[name]}"), name)

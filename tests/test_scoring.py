@@ -121,3 +121,14 @@ def test_streamed_rates(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("edits").agg(F.sum("word_edits")).first()[0] == 1
+
+
+def test_names_at_the_package_top():
+    import skaldic
+    from skaldic.functions import text
+    from skaldic.operators import scoring
+
+    assert skaldic.normalise is text.normalise is skaldic.normalize
+    assert skaldic.compute_wer is scoring.compute_wer and skaldic.compute_cer is scoring.compute_cer
+    assert skaldic.strip_number_separators is text.strip_number_separators
+    assert not hasattr(skaldic, "nothing_of_this_name")
