@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import ann, exact_dedup, langid, mixing, neardup, packing, suffix_dedup, toxicity, url_filter, warc
+from . import ann, exact_dedup, langid, mixing, neardup, packing, periodic, suffix_dedup, toxicity, url_filter, warc
 from .workspace import Workspace, table
 
 RULES = [
@@ -170,6 +170,38 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def with_tails(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the documents, by the CRC of their identifiers, go on from word a with a period p of their own words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("w"))
+    n, a, p = F.size("w"), F.col("a"), F.col("p")
+    placed = cut.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - a) / (3 + F.col("g") % 8)))
+
+    def word(own: Column, i: Column) -> Column:
+        return F.when(i < a, own).otherwise(F.get(F.col("w"), (a + (i - a) % p).cast("int")))
+
+    tailed = F.when(a.isNotNull(), F.array_join(F.transform("w", word), " ")).otherwise(F.col("text"))
+    return placed.select("doc_id", tailed.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = periodic.periodic_runs(docs).withColumn("top", top)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
@@ -182,6 +214,7 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_warc": op9_warc,
         "op10_neardup": op10_neardup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
