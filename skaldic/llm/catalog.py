@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import ann, exact_dedup, langid, mixing, neardup, packing, periodic, suffix_dedup, toxicity, url_filter, warc
+from . import ann, exact_dedup, html_text, langid, mixing, neardup, packing, periodic, suffix_dedup, toxicity, url_filter, warc
 from .workspace import Workspace, table
 
 RULES = [
@@ -170,6 +170,11 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def with_tails(docs: DataFrame) -> DataFrame:
     """Texts of a tenth of the documents, by the CRC of their identifiers, go on from word a with a period p of their own words."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -214,6 +219,7 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_warc": op9_warc,
         "op10_neardup": op10_neardup,
+        "op12_html_text": op12_html_text,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
