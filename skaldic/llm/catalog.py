@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import ann, exact_dedup, html_text, langid, mixing, neardup, packing, periodic, suffix_dedup, toxicity, url_filter, warc
+from . import ann, exact_dedup, html_text, langid, leaderboard, mixing, neardup, packing, periodic, suffix_dedup, toxicity, url_filter, warc
 from .workspace import Workspace, table
 
 RULES = [
@@ -164,12 +164,124 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_i
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS n))
+), written AS (
+  SELECT *, concat(coalesce(sale_id::VARCHAR, ''), ',', coalesce(item_id::VARCHAR, ''), ',', coalesce(vendor_id::VARCHAR, ''), ',', coalesce(line_no::VARCHAR, '')) AS w
+  FROM sale_lines
+), hashed AS (
+  SELECT written.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(w) + 1), lambda i: ord(w[i])::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+  FROM written, crc
+), dated AS (
+  SELECT *, coalesce(date_diff('day', DATE '1970-01-01', shipped_at::DATE), 19723 + h % 150) AS s FROM hashed
+), arrived AS (
+  SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM dated
+), cut AS MATERIALIZED (
+  SELECT *, least(10, greatest(1, 1 + floor((a - 19723) * 10 / 180)))::INTEGER AS batch FROM arrived
+), newest AS (
+  SELECT batch, max(max(s)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM cut GROUP BY batch
+), one_vendor AS (
+  SELECT vendor_id, min(nation_id) AS nation_id FROM vendors GROUP BY vendor_id
+), one_item AS (
+  SELECT item_id, min(price) AS price FROM items GROUP BY item_id
+), valued AS (
+  SELECT nation_id, item_id, a, batch, (CASE WHEN flag = 'returned' THEN -1 ELSE 1 END) * coalesce(
+    CASE WHEN abs(amount) < 1e13 THEN floor(100 * amount + 0.5) END, quantity * CASE WHEN abs(price) < 1e13 THEN floor(100 * price + 0.5) END, 0)::BIGINT AS cents
+  FROM cut JOIN newest USING (batch) JOIN one_vendor USING (vendor_id) JOIN one_item USING (item_id)
+  WHERE nation_id IS NOT NULL AND (earlier IS NULL OR s + 3 >= earlier)
+), sums AS (
+  SELECT nation_id, item_id, a, sum(cents) AS cents FROM valued GROUP BY ALL
+), running AS MATERIALIZED (
+  SELECT nation_id, item_id, a, sum(cents) OVER w AS revenue, lead(a) OVER w AS until
+  FROM sums WINDOW w AS (PARTITION BY nation_id, item_id ORDER BY a)
+), days AS MATERIALIZED (
+  SELECT nation_id, a AS day, min(batch) AS batch, lead(a) OVER (PARTITION BY nation_id ORDER BY a) AS next_day FROM valued GROUP BY nation_id, a
+), boards AS MATERIALIZED (
+  SELECT nation_id, day, next_day, item_id, row_number() OVER (PARTITION BY nation_id, day ORDER BY revenue DESC, item_id) AS rank
+  FROM days JOIN running USING (nation_id) WHERE a <= day AND (until IS NULL OR day < until) AND revenue > 0
+  QUALIFY rank <= 10
+), both_boards AS (
+  SELECT nation_id, day, item_id, rank AS new_rank, NULL AS old_rank FROM boards
+  UNION ALL SELECT nation_id, next_day, item_id, NULL, rank FROM boards WHERE next_day IS NOT NULL
+), ranks AS (
+  SELECT nation_id, day, item_id, max(old_rank)::INTEGER AS old_rank, max(new_rank)::INTEGER AS new_rank FROM both_boards GROUP BY ALL
+)
+SELECT ranks.nation_id, ranks.day::BIGINT AS arrival_day, ranks.item_id, days.batch,
+  CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change, old_rank, new_rank, revenue::BIGINT AS revenue
+FROM ranks JOIN days USING (nation_id, day) JOIN running ON running.nation_id = ranks.nation_id AND running.item_id = ranks.item_id AND a <= ranks.day AND (until IS NULL OR ranks.day < until)
+WHERE old_rank IS DISTINCT FROM new_rank
+"""
+
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+BATCHES = 10
+FIRST_DAY = 19723
+"""The first of January 2024, in days since 1970."""
+DAYS = 180
+DAYS_LATE = 3
+LINES_A_FILE = 1 << 21
+LINES_A_PART = 1 << 16
+"""Lines of a nation's part, on average; a state can't be dealt anew, so its parts are fixed when it begins."""
+
+
+def sale_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with board (nation; null where it or the item isn't known), item_id, day, ship_day, value in cents and batch.
+
+    Both joins are plain shuffles, so that a hot vendor or item can be split at
+    run time. Of repeated rows of a vendor or item the smallest nation and price count.
+    """
+    lines = table(spark, sf_dir, "sale_lines")
+    written = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")])
+    h = F.col("h")
+    dated = lines.withColumn("h", F.crc32(written)).withColumn("ship_day", F.coalesce(F.unix_date(F.to_date("shipped_at")), FIRST_DAY + h % 150).cast("long"))
+    arrived = dated.withColumn("day", F.col("ship_day") + h % 7 + F.when(h % 5 == 0, 20).otherwise(0))
+    number = F.least(F.lit(BATCHES), F.greatest(F.lit(1), 1 + F.floor((F.col("day") - FIRST_DAY) * BATCHES / DAYS))).cast("int")
+    vendors = table(spark, sf_dir, "vendors").groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id")).hint("merge")
+    items = table(spark, sf_dir, "items").groupBy("item_id").agg(F.min("price").alias("price"), F.lit(True).alias("known")).hint("merge")
+    joined = arrived.select("item_id", "vendor_id", "quantity", "amount", "flag", "ship_day", "day", number.alias("batch")).join(vendors, "vendor_id", "left").join(items, "item_id", "left")
+
+    def cents(money: Column) -> Column:
+        """Null for what is no amount of money: not a number, or more cents than a double can count."""
+        return F.when(F.abs(money) < 1e13, F.floor(100 * money + 0.5))
+
+    value = F.coalesce(cents(F.col("amount")), F.col("quantity") * cents(F.col("price")), F.lit(0)).cast("long")
+    return joined.select(
+        F.when(F.col("known"), F.col("nation_id")).alias("board"), "item_id", "day", "ship_day", F.when(F.col("flag") == "returned", -value).otherwise(value).alias("value"), "batch"
+    )
+
+
+def op11_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "leaderboard")
+    cut, root = ws.new_path("cut"), ws.new_path("stream")
+    lines, n = sale_batches(spark, sf_dir), table(spark, sf_dir, "sale_lines").count()
+    # A batch is a few files, as each costs the shared folder and the stream's log an entry.
+    files = F.pmod(F.xxhash64("item_id", "board", "day"), F.lit(2 + n // (BATCHES * LINES_A_FILE)))
+    lines.repartition("batch", files).write.partitionBy("batch").parquet(cut)
+    found = spark.read.schema(lines.schema).parquet(cut).groupBy("batch").agg(F.max("ship_day").alias("newest")).collect()
+    newest = {r["batch"]: r["newest"] for r in found}
+    parts = 4
+    while 25 * parts * LINES_A_PART < n:
+        parts *= 2
+
+    def on_time(stream: DataFrame, number: int) -> DataFrame:
+        earlier = [day for batch, day in newest.items() if batch < number]
+        known = stream.filter(F.col("board").isNotNull() & F.col("item_id").isNotNull())
+        return known.filter(F.col("ship_day") + DAYS_LATE >= max(earlier)) if earlier else known
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
+    out = leaderboard.replay_batches(spark, cut, root, schema, list(range(1, BATCHES + 1)), on_time, parts)
+    feed = spark.read.schema(leaderboard.PART_FEED.format(kind="int")).parquet(out)
+    return leaderboard.merged_boards(feed, parts).withColumnsRenamed({"board": "nation_id", "day": "arrival_day"})
+
+
 def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -219,6 +331,7 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_warc": op9_warc,
         "op10_neardup": op10_neardup,
+        "op11_leaderboard": op11_leaderboard,
         "op12_html_text": op12_html_text,
         "op13_periodic_runs": op13_periodic_runs,
     }
@@ -231,4 +344,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_suffix_dedup": OP8_SQL,
         "op9_warc": OP9_SQL,
         "op10_neardup": OP10_SQL,
+        "op11_leaderboard": OP11_SQL,
     }
