@@ -44,6 +44,13 @@ FAN = 64
 """Parts whose boards meet in one merging task."""
 CHUNK_BITS = 12
 """log2 of the items that a chunk of the map holds, if identifiers are dense."""
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
+"""Every start opens the state anew: only what has changed is written, no file is sized in advance, old versions go."""
 
 SUMS = "board {kind}, part int, day long, batch int, item_id long, value long"
 PART_FEED = SUMS + ", there boolean"
@@ -263,12 +270,9 @@ def replay_batches(spark: SparkSession, cut: str, root: str, schema: str, number
     feed, out = f"{root}/fed", f"{root}/parts"
     fs, at = folders(spark, root)
     fs.mkdirs(at(feed))
-    provider, retained = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.minBatchesToRetain"
-    changelog = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
-    wanted = {provider: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", retained: "2", changelog: "true"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
     try:
-        for k, v in wanted.items():
+        for k, v in STATE_STORE.items():
             spark.conf.set(k, v)
         for number in numbers:
             if fs.exists(at(f"{cut}/batch={number}")):
