@@ -232,36 +232,42 @@ LINES_A_PART = 1 << 16
 """Lines of a nation's part, on average; a state can't be dealt anew, so its parts are fixed when it begins."""
 
 
-def sale_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sale_batches(spark: SparkSession, sf_dir: str, ws: Workspace) -> DataFrame:
     """Lines with board (nation; null where it or the item isn't known), item_id, day, ship_day, value in cents and batch.
 
-    Both joins are plain shuffles, so that a hot vendor or item can be split at
-    run time. Of repeated rows of a vendor or item the smallest nation and price count.
+    Both joins are of plain shuffles, so that a hot vendor or item is split at
+    run time; what they move is five numbers and a key a line. Of repeated rows of a vendor
+    or item the smallest nation and price count.
     """
     lines = table(spark, sf_dir, "sale_lines")
     written = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")])
-    h = F.col("h")
-    dated = lines.withColumn("h", F.crc32(written)).withColumn("ship_day", F.coalesce(F.unix_date(F.to_date("shipped_at")), FIRST_DAY + h % 150).cast("long"))
-    arrived = dated.withColumn("day", F.col("ship_day") + h % 7 + F.when(h % 5 == 0, 20).otherwise(0))
-    number = F.least(F.lit(BATCHES), F.greatest(F.lit(1), 1 + F.floor((F.col("day") - FIRST_DAY) * BATCHES / DAYS))).cast("int")
-    vendors = table(spark, sf_dir, "vendors").groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id")).hint("merge")
-    items = table(spark, sf_dir, "items").groupBy("item_id").agg(F.min("price").alias("price"), F.lit(True).alias("known")).hint("merge")
-    joined = arrived.select("item_id", "vendor_id", "quantity", "amount", "flag", "ship_day", "day", number.alias("batch")).join(vendors, "vendor_id", "left").join(items, "item_id", "left")
+    h, sign = F.col("h"), F.when(F.col("flag") == "returned", -1).otherwise(1)
+    dated = lines.withColumn("h", F.crc32(written)).withColumn("ship_day", F.coalesce(F.unix_date(F.to_date("shipped_at")), FIRST_DAY + h % 150))
+    day = F.col("ship_day") + h % 7 + F.when(h % 5 == 0, 20).otherwise(0)
 
     def cents(money: Column) -> Column:
         """Null for what is no amount of money: not a number, or more cents than a double can count."""
         return F.when(F.abs(money) < 1e13, F.floor(100 * money + 0.5))
 
-    value = F.coalesce(cents(F.col("amount")), F.col("quantity") * cents(F.col("price")), F.lit(0)).cast("long")
-    return joined.select(
-        F.when(F.col("known"), F.col("nation_id")).alias("board"), "item_id", "day", "ship_day", F.when(F.col("flag") == "returned", -value).otherwise(value).alias("value"), "batch"
+    paid = cents(F.col("amount"))
+    # A line carries the signed cents of its amount, or else the signed quantity for the price.
+    narrow = dated.select(
+        "vendor_id", "item_id", (sign * paid).alias("paid"), F.when(paid.isNull(), sign * F.col("quantity")).alias("quantity"), F.col("ship_day").cast("int").alias("ship_day"), day.cast("int").alias("day")
     )
+    vendors = ws.keep(table(spark, sf_dir, "vendors").groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id")), "vendors")
+    items = ws.keep(table(spark, sf_dir, "items").groupBy("item_id").agg(cents(F.min("price")).alias("price"), F.lit(True).alias("known")), "items")
+    joined = narrow.join(vendors.hint("merge"), "vendor_id", "left").drop("vendor_id").join(items.hint("merge"), "item_id", "left")
+    number = F.least(F.lit(BATCHES), F.greatest(F.lit(1), 1 + F.floor((F.col("day") - FIRST_DAY) * BATCHES / DAYS))).cast("int")
+    return joined.select(
+        F.when(F.col("known"), F.col("nation_id")).alias("board"), "item_id", F.col("day").cast("long").alias("day"), "ship_day",
+        F.coalesce("paid", F.col("quantity") * F.col("price"), F.lit(0)).cast("long").alias("value"), number.alias("batch"),
+    )
 
 
 def op11_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "leaderboard")
     cut, root = ws.new_path("cut"), ws.new_path("stream")
-    lines, n = sale_batches(spark, sf_dir), table(spark, sf_dir, "sale_lines").count()
+    lines, n = sale_batches(spark, sf_dir, ws), table(spark, sf_dir, "sale_lines").count()
     # A batch is a few files, as each costs the shared folder and the stream's log an entry.
     files = F.pmod(F.xxhash64("item_id", "board", "day"), F.lit(2 + n // (BATCHES * LINES_A_FILE)))
     lines.repartition("batch", files).write.partitionBy("batch").parquet(cut)
