@@ -9,8 +9,9 @@ SMALL = (
     "nul en to tre fire fem seks syv otte ni ti elleve tolv tretten fjorten femten seksten sytten atten nitten"
 ).split()
 TENS = "tyve tredive fyrre halvtreds tres halvfjerds firs halvfems".split()
-GROUPS = ((10**9, "milliard", "milliarder"), (10**6, "million", "millioner"))
-LIMIT = 10**12
+LONG_SCALE = "m b tr kvadr kvint sekst sept okt non dec".split()
+GROUPS = [(10 ** (6 * k + 3 * half), f"{stem}illi{('on', 'ard')[half]}") for k, stem in enumerate(LONG_SCALE, 1) for half in (0, 1)][::-1]
+LIMIT = GROUPS[0][0] * 1000
 
 
 def _below_hundred(n: int) -> str:
@@ -31,10 +32,10 @@ def _spell(n: int) -> str:
     if n < 1000:
         head, rest = _counter(n // 100) + "hundrede", n % 100
         return f"{head} og {_below_hundred(rest)}" if rest else head
-    for size, one, many in GROUPS:
+    for size, name in GROUPS:
         if n >= size:
             count, rest = divmod(n, size)
-            head = f"{_spell(count)} {one if count == 1 else many}"
+            head = f"{_spell(count)} {name if count == 1 else name + 'er'}"
             return f"{head} {_spell(rest)}" if rest else head
     head, rest = _counter(n // 1000) + "tusinde", n % 1000
     if not rest:

@@ -8,22 +8,34 @@ _FIRST = 0x4E00
 _SURROGATES = 0xD800
 _AFTER_SURROGATES = 0xE000
 _TABLE = 256
+BANDS = tuple(16 * 4**k for k in range(7))
 
 
-def _distance(reference: Column, hypothesis: Column) -> Column:
-    """``levenshtein``, spared where the answer is plain: equal sides, or an empty one."""
+def _distance(reference: Column, hypothesis: Column, exact: Column) -> Column:
+    """``exact``, spared where the answer is plain: equal sides, or an empty one."""
     return (
         F.when(reference == hypothesis, F.lit(0))
         .when(reference == "", F.char_length(hypothesis))
         .when(hypothesis == "", F.char_length(reference))
-        .otherwise(F.levenshtein(reference, hypothesis))
+        .otherwise(exact)
         .cast("long")
     )
 
 
+def banded(reference: Column, hypothesis: Column) -> Column:
+    """``levenshtein`` within a band around the diagonal that grows until the distance fits.
+
+    A band of k costs 2 * k cells a character, and the last band tried is at most four times
+    as wide as is needed. Where a band would be over a quarter of the longer text, the whole table is as good.
+    """
+    longer = F.greatest(F.char_length(reference), F.char_length(hypothesis))
+    tries = [F.nullif(F.when(longer > 4 * k, F.levenshtein(reference, hypothesis, k)), F.lit(-1)) for k in BANDS]
+    return F.coalesce(*tries, F.levenshtein(reference, hypothesis))
+
+
 def char_edits(reference: Column, hypothesis: Column) -> Column:
-    """Unit-cost distance in code points, spaces included."""
-    return _distance(reference, hypothesis)
+    """Unit-cost distance in code points, spaces included, of texts of any length."""
+    return _distance(reference, hypothesis, banded(reference, hypothesis))
 
 
 def shared_words(reference: Column, hypothesis: Column) -> Column:

@@ -75,6 +75,39 @@ def utterance_char_edits(pairs: DataFrame) -> DataFrame:
     )
 
 
+OPERATIONS = ("hits", "substitutions", "deletions", "insertions")
+
+
+def _count_operations(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions.alignment import operation_counts
+
+    for batch in batches:
+        numbers: dict[str, int] = {}
+        sides = [
+            [np.array([numbers.setdefault(w, len(numbers)) for w in t.split()], np.int64) for t in batch.column(k).to_pylist()] for k in (-2, -1)
+        ]
+        counts = operation_counts(*sides)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *map(pa.array, counts.T)], names=[*batch.schema.names[:-2], *OPERATIONS])
+
+
+def utterance_operations(pairs: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and how many words of each pair of normalised texts are hit, substituted, deleted and inserted.
+
+    The edits are as few as can be, and of those alignments the one with
+    fewest substitutions counts, so the numbers don't depend on a path.
+    """
+    narrow = pairs.select(*keys, "reference", "hypothesis")
+    fields = [f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys] + [f"{o} long" for o in OPERATIONS]
+    return narrow.mapInArrow(_count_operations, ", ".join(fields))
+
+
+def corpus_operations(pairs: DataFrame, *keys: str) -> DataFrame:
+    return utterance_operations(pairs, *keys).groupBy(*keys).agg(*[F.sum(o).alias(o) for o in OPERATIONS])
+
+
 def rate(edits: Column, units: Column) -> Column:
     """Percentage, 0 where there is nothing to count; it may exceed 100."""
     return F.coalesce(F.when(units > 0, edits / units * 100.0), F.lit(0.0))
@@ -125,9 +158,19 @@ def published(rates: DataFrame) -> DataFrame:
     return rates.withColumns({"wer": exact_round(F.col("wer"), 2), "cer": exact_round(F.col("cer"), 2)})
 
 
+def hundredths(value: Column) -> Column:
+    """A double of two places as the decimal that it is written as; null for what is not a number."""
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double")).cast("decimal(18,2)")
+
+
 def macro_mean(scores: DataFrame, value: str, *keys: str, null_if_empty: bool = False) -> DataFrame:
-    """Mean of the rounded values that exist, rounded again; 0 where none does, or null on request."""
-    out = scores.groupBy(*keys).agg(F.avg(value).alias("_mean")).withColumn("_mean", exact_round(F.col("_mean"), 2))
+    """Mean of the rounded values that exist, rounded again; 0 where none does, or null on request.
+
+    Values of two places are added as decimals: a sum of doubles depends on the order in which partial sums meet.
+    """
+    exact = hundredths(F.col(value))
+    mean = F.sum(exact).cast("double") / F.nullif(F.count(exact), F.lit(0))
+    out = scores.groupBy(*keys).agg(mean.alias("_mean")).withColumn("_mean", exact_round(F.col("_mean"), 2))
     filled = F.col("_mean") if null_if_empty else F.coalesce("_mean", F.lit(0.0))
     return out.withColumn(f"mean_{value}", filled).drop("_mean")
 
@@ -147,8 +190,9 @@ def wide_results(scores: DataFrame, datasets: tuple[str, ...] = CORE_COLUMNS) ->
 
 def row_mean(names: list[str]) -> Column:
     """Mean of a row's values that exist, at two places, 0 if none does."""
-    values = F.array_compact(F.array(*[F.nanvl(F.col(c), F.lit(None).cast("double")) for c in names]))
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(values), F.lit(0))
+    values = F.array_compact(F.array(*[hundredths(F.col(c)) for c in names]))
+    total = F.aggregate(values, F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x).cast("decimal(28,2)"))
+    mean = total.cast("double") / F.nullif(F.size(values), F.lit(0))
     return F.coalesce(exact_round(mean, 2), F.lit(0.0))
 
 

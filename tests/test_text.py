@@ -66,13 +66,14 @@ def test_null_stays_null(spark):
     assert rows.first()["n"] is None
 
 
-@pytest.mark.parametrize("n,words", [("0", "nul"), ("1", "en"), ("21", "enogtyve"), ("101", "ethundrede og en"), ("1000", "ettusinde"), ("1000000", "en million")])
+@pytest.mark.parametrize("n,words", [("0", "nul"), ("1", "en"), ("21", "enogtyve"), ("101", "ethundrede og en"), ("1000", "ettusinde"), ("1000000", "en million"), ("1000000000000", "en billion"), ("3000000000000000000", "tre trillioner"), ("2000000000000005", "to billiarder fem")])
 def test_cardinals(n, words):
     assert cardinal(n) == words
 
 
 def test_cardinals_beyond_the_limit_stay():
-    assert cardinal("1" + "0" * 12) == "1" + "0" * 12
+    assert cardinal("1" + "0" * 66) == "1" + "0" * 66
+    assert cardinal("9" * 66) != "9" * 66
     assert cardinal("4²") == "4²"
 
 
