@@ -1,14 +1,14 @@
-"""Edit distances without Python: characters by ``levenshtein``, words by writing each as one character."""
+"""Edit distances: characters by bit-parallel columns, words by ``levenshtein`` with each word written as one character."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 _FIRST = 0x4E00
 _SURROGATES = 0xD800
 _AFTER_SURROGATES = 0xE000
 _TABLE = 256
-BANDS = tuple(16 * 4**k for k in range(7))
 
 
 def _distance(reference: Column, hypothesis: Column, exact: Column) -> Column:
@@ -22,20 +22,25 @@ def _distance(reference: Column, hypothesis: Column, exact: Column) -> Column:
     )
 
 
-def banded(reference: Column, hypothesis: Column) -> Column:
-    """``levenshtein`` within a band around the diagonal that grows until the distance fits.
+def char_edits(reference: Column, hypothesis: Column) -> Column:
+    """Unit-cost distance in code points, spaces included, of texts of any length.
 
-    A band of k costs 2 * k cells a character, and the last band tried is at most four times
-    as wide as is needed. Where a band would be over a quarter of the longer text, the whole table is as good.
+    Pairs that differ pass an Arrow hop to bit-parallel columns, which for lines of 200
+    characters take a fraction of what ``levenshtein`` does and for whole
+    documents far less.
     """
-    longer = F.greatest(F.char_length(reference), F.char_length(hypothesis))
-    tries = [F.nullif(F.when(longer > 4 * k, F.levenshtein(reference, hypothesis, k)), F.lit(-1)) for k in BANDS]
-    return F.coalesce(*tries, F.levenshtein(reference, hypothesis))
 
+    @F.pandas_udf("long")
+    def bit_parallel(references: pd.Series, hypotheses: pd.Series) -> pd.Series:
+        from .bitparallel import distances
 
-def char_edits(reference: Column, hypothesis: Column) -> Column:
-    """Unit-cost distance in code points, spaces included, of texts of any length."""
-    return _distance(reference, hypothesis, banded(reference, hypothesis))
+        here = (references.notna() & hypotheses.notna()).to_numpy()
+        out = pd.Series(pd.NA, index=references.index, dtype="Int64")
+        out[here] = distances(references[here].tolist(), hypotheses[here].tolist())
+        return out
+
+    differ = (reference != hypothesis) & (reference != "") & (hypothesis != "")
+    return _distance(reference, hypothesis, bit_parallel(F.when(differ, reference), F.when(differ, hypothesis)))
 
 
 def shared_words(reference: Column, hypothesis: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Operation counts and alignments against the whole table of dynamic programming; distances within growing bands."""
+"""Operation counts and alignments against the whole table of dynamic programming; bit-parallel distances against Spark's."""
 
 import itertools
 import random
@@ -55,7 +55,7 @@ def test_corpus_operations(spark):
     assert {r["dataset"]: tuple(r)[1:] for r in got.collect()} == {"a": (2, 0, 2, 1), "b": (2, 1, 0, 1)}
 
 
-def test_banded_distance(spark):
+def test_char_distance(spark):
     rng = random.Random(4)
     texts = []
     for n, changes in itertools.product([3, 70, 300, 3000, 33_000], [0, 1, 20, 400]):
@@ -66,10 +66,12 @@ def test_banded_distance(spark):
             other[k : k + 1] = rng.choice([[], ["x"], ["y", "z"]])
             other = other or ["q"]
         texts.append(("".join(t), "".join(other)))
-    short = [(a, b) for a, b in texts if len(a) <= 3000] + [("", "abc"), ("abc", ""), ("", ""), ("a" * 200, "b" * 900)]
+    short = [(a, b) for a, b in texts if len(a) <= 3000] + [("x" * n, "y" * 3 + "x" * m) for n in (63, 64, 65, 128, 1024, 1025) for m in (1, 63, 64, 200)] + [("", "abc"), ("abc", ""), ("", ""), ("a" * 200, "b" * 900)]
     rows = spark.createDataFrame(short, "a string, b string")
     wrong = rows.filter(edit.char_edits(F.col("a"), F.col("b")) != F.levenshtein("a", "b"))
     assert wrong.count() == 0
+    rows = [("".join(rng.choices("abc", k=rng.randint(1, 300))), "".join(rng.choices("abcd", k=rng.randint(1, 300)))) for _ in range(400)]
+    assert spark.createDataFrame(rows, "a string, b string").filter(edit.char_edits(F.col("a"), F.col("b")) != F.levenshtein("a", "b")).count() == 0
     long = spark.createDataFrame([(a, a.replace("a", "")) for a, _ in texts], "a string, b string")
     assert long.filter(edit.char_edits(F.col("a"), F.col("b")) != F.char_length("a") - F.char_length("b")).count() == 0
 
