@@ -358,6 +358,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float =
     return beta
 
 
+SIGNS = np.array([1, 1, -1, -1, 1, 1])
+"""Matches and threats never speak against toxicity, what is negated or reported never for it."""
+
+
+def fit_signed(x: np.ndarray, y: np.ndarray, signs: np.ndarray = SIGNS) -> np.ndarray:
+    """Coefficients that keep to ``signs``, intercept last: the one furthest on the wrong side is left out until none is."""
+    free = np.arange(x.shape[1])
+    while True:
+        beta = fit_logistic(x[:, free], y, ridge=1e-5)
+        wrong = beta[:-1] * signs[free]
+        if not len(free) or wrong.min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[free], out[-1] = beta[:-1], beta[-1]
+            return out
+        free = np.delete(free, int(np.argmin(wrong)))
+
+
 def fit(sample: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """(stems, coefficients) from a labelled sample."""
     stems = learn_stems(sample)
@@ -376,7 +393,7 @@ def fit(sample: DataFrame) -> tuple[dict[str, float], np.ndarray]:
         return stems, beta
     rows.sort(key=lambda r: (r["y"], r["x"]))
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
-    return stems, fit_logistic(x, y, ridge=1e-5)
+    return stems, fit_signed(x, y)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
