@@ -5,6 +5,7 @@ from importlib import import_module
 _HOME = {
     "normalise": "functions.text",
     "normalize": "functions.text",
+    "normalize_numbers_da": "functions.text",
     "strip_number_separators": "functions.text",
     "compute_wer": "operators.scoring",
     "compute_cer": "operators.scoring",

@@ -53,7 +53,7 @@ def result_rows(rates: DataFrame, meta: DataFrame, speed: DataFrame | None = Non
 def evaluate_flags(p: argparse.ArgumentParser) -> None:
     p.add_argument("--model", required=True)
     p.add_argument("--model-id", default="", help="name for results, if not the model's")
-    p.add_argument("--backend", required=True, choices=backends.available_backends())
+    p.add_argument("--backend", required=True, choices=backends.known_backends())
     p.add_argument("--params-b", type=float)
     p.add_argument("--access", default="open", choices=("open", "proprietary"))
     p.add_argument("--batch-size", type=int, default=16)
@@ -291,7 +291,7 @@ ARCHIVES = ["cv-corpus-*-da.tar.gz", "*common_voice*da*.tar.gz", "*.tar.gz"]
 
 def fetch_flags(p: argparse.ArgumentParser) -> None:
     p.add_argument("--output-dir", default="cv_da")
-    p.add_argument("--splits", nargs="+", default=["test"])
+    p.add_argument("--splits", nargs="+", default=["test"], help="names apart by spaces or commas")
     p.add_argument("--tarball", default="")
     p.add_argument("--dataset-id", default="", help="accepted; nothing here downloads")
     p.add_argument("--force", action="store_true", help="extract again where a manifest exists")
@@ -301,7 +301,7 @@ def fetch(spark: SparkSession, args) -> int:
     archive = args.tarball or archives.find_archive(spark, args.output_dir, ARCHIVES)
     if not archive or not storage.exists(spark, archive):
         return fail("no archive; pass --tarball")
-    for split in args.splits:
+    for split in dict.fromkeys(s.strip() for part in args.splits for s in part.split(",") if s.strip()):
         manifest = f"{args.output_dir}/{split}/{split}_manifest.jsonl"
         if storage.exists(spark, manifest) and not args.force:
             print(f"[{split}] manifest exists: {manifest}")

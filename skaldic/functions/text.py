@@ -104,3 +104,4 @@ def normalise(text: Column, *, unicode: str | None, numbers: bool = True, filler
 
 
 normalize = normalise
+normalize_numbers_da = number_words

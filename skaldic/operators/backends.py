@@ -70,9 +70,20 @@ def register(*names: str):
 
 
 def load_backend(name: str, options: LoadOptions) -> Backend:
-    if name not in _REGISTRY:
-        raise ValueError(f"unknown backend {name!r}; there are {', '.join(available_backends())}")
-    return _REGISTRY[name](options)
+    return maker(name)(options)
+
+
+def maker(name: str) -> Callable[[LoadOptions], Backend]:
+    """What makes a backend; names that are known but not registered have no model here."""
+    if name in _REGISTRY:
+        return _REGISTRY[name]
+    if name in LOCAL_BACKENDS + HOSTED_BACKENDS:
+        raise ValueError(f"the model of backend {name!r} is not built in; register one under this name")
+    raise ValueError(f"unknown backend {name!r}; there are {', '.join(known_backends())}")
+
+
+def known_backends() -> list[str]:
+    return sorted({*_REGISTRY, *LOCAL_BACKENDS, *HOSTED_BACKENDS})
 
 
 def available_backends() -> list[str]:
@@ -102,7 +113,7 @@ def transcribe(rows: DataFrame, backend: str, options: LoadOptions = LoadOptions
     """
     from pyspark.sql import functions as F
 
-    make = _REGISTRY[backend]
+    make = maker(backend)
     schema = rows.withColumns({"hypothesis": F.lit(""), "infer_s": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import edit, text as T
 from ..functions.rounding import exact_round
+from ..sources import readers
 from ..sources.schemas import CORE_COLUMNS
 
 
@@ -37,6 +38,11 @@ def align(references: DataFrame, hypotheses: DataFrame, keys: tuple[str, ...] =
     return references.join(hypotheses, list(keys), "inner")
 
 
+def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two scans of files side by side, by their places alone; the shorter one ends it. (ordinal and the columns of both)"""
+    return readers.placed(left).join(readers.placed(right), "ordinal")
+
+
 def normalised_pairs(utterances: DataFrame, config: Config) -> DataFrame:
     """Normalised pairs; those whose reference has nothing left are dropped, empty hypotheses stay."""
     columns = utterances.columns

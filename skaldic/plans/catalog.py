@@ -145,6 +145,12 @@ def turn_pair_wer(spark, sf_dir):
     )
 
 
+def zip_by_place(spark, sf_dir):
+    """Documents beside turns of conversations, as they come in their files."""
+    docs, turns = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return scoring.zipped(docs, turns).select("ordinal", "doc_id", "lang", "conv_id", "turn")
+
+
 # --- normaliser
 
 def normalise_text(spark, sf_dir):
@@ -473,7 +479,7 @@ def full_board(spark, sf_dir):
 
 QUERIES = [
     wer_by_model_dataset, cer_by_model_dataset, edit_operations, cer_whole_texts, macro_mean_wer, results_wide_pivot, wer_vs_mean_of_rates, empty_hyp_full_deletion,
-    empty_ref_dropped, rates_as_aggregates, core_mean, unicode_composed, excluded_rows, origin_counts, rescore_configs, rescore_delta, turn_pair_wer, normalise_text, number_separator_strip, punct_strip,
+    empty_ref_dropped, rates_as_aggregates, core_mean, unicode_composed, excluded_rows, origin_counts, rescore_configs, rescore_delta, turn_pair_wer, zip_by_place, normalise_text, number_separator_strip, punct_strip,
     whitespace_collapse, lowercase, standalone_int_tokens, apostrophe_rule, unicode_forms, filler_strip, cardinals, overlay_merge,
     backfill_access, missing_speed, board_rank, two_boards, exclude_then_rank, link_parse, model_links, slugify, size_from_name,
     official_size, substring_lookup, archive_choice, model_names, dataset_card, outputs_union, combined_alias, repair_hypothesis,
@@ -670,6 +676,8 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT *, list_filter(string_split(r, ' '), lambda t: t <> '') AS rw, list_filter(string_split(h, ' '), lambda t: t <> '') AS hw FROM k), {_CODED}
             SELECT count(*) AS n_pairs, CAST(sum(len(rw)) AS BIGINT) AS n_words, CAST(sum(len(hw)) AS BIGINT) AS n_hyp_words,
               CAST(sum(word_edits) AS BIGINT) AS word_edits FROM coded""",
+        "zip_by_place": """SELECT ordinal, doc_id, lang, conv_id, turn FROM (SELECT row_number() OVER () - 1 AS ordinal, doc_id, lang FROM documents)
+            JOIN (SELECT row_number() OVER () - 1 AS ordinal, conv_id, turn FROM conversations) USING (ordinal)""",
         "normalise_text": f"SELECT doc_id, {_plain('text')} AS normalised FROM documents",
         "number_separator_strip": f"SELECT page_id, {_separators('html')} AS stripped FROM pages",
         "punct_strip": f"SELECT conv_id, turn, {_punct('text')} AS stripped FROM conversations",

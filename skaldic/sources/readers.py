@@ -87,6 +87,13 @@ def read_manifest(spark: SparkSession, path: str, audio: DataFrame | None = None
     return rows if audio is None else existing_files(rows, audio)
 
 
+def audio_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the files below a folder, which are listed and not read."""
+    if not storage.exists(spark, folder):
+        return spark.createDataFrame([], "path string")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+
+
 def existing_files(rows: DataFrame, audio: DataFrame, column: str = "audio_path") -> DataFrame:
     listed = audio.select(F.regexp_replace("path", "^file:/*", "/").alias("_path")).distinct()
     return rows.join(listed, F.regexp_replace(F.col(column), "^file:/*", "/") == F.col("_path"), "left_semi")
@@ -153,17 +160,18 @@ def load_or_skip(loaders: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str,
     return good, bad
 
 
-def load_dataset(spark: SparkSession, selector: str, source: str, cache: str, cap: int = 0) -> DataFrame:
+def load_dataset(spark: SparkSession, selector: str, source: str, cache: str, cap: int = 0, audio: DataFrame | None = None) -> DataFrame:
     """Test-set rows of a data set: its manifest in ``cache`` for full runs that have one, else its source table.
 
     A source is a Parquet table; ``cv17`` is a manifest of its own. A full run
-    leaves a manifest behind, a capped one doesn't.
+    leaves a manifest behind, a capped one doesn't. With ``audio``, a listing such as ``audio_files``
+    gives, a manifest's rows whose file is not there are left out.
     """
     if selector == "cv17":
-        return read_external_manifest(spark, source, cap)
+        return read_external_manifest(spark, source, cap, audio)
     manifest = f"{cache}/{selector}.manifest.jsonl"
     if not cap and storage.exists(spark, manifest):
-        return read_manifest(spark, manifest).withColumn("ordinal", file_order())
+        return read_manifest(spark, manifest, audio).withColumn("ordinal", file_order())
     rows = materialise(numbered(spark.read.parquet(source)), selector, TEXT_KEYS[selector], cap)
     rows = rows.withColumn("audio_path", F.concat(F.lit(f"{cache}/{selector}/"), "audio_path"))
     if not cap:
@@ -173,6 +181,22 @@ def load_dataset(spark: SparkSession, selector: str, source: str, cache: str, ca
     return rows
 
 
+def placed(scan: DataFrame) -> DataFrame:
+    """A scan of files of any format with ``ordinal``: the place of a row from 0, by path and place in the file.
+
+    Two passes: the first counts the rows of every block that a task read in one
+    go, which is as many rows as there are blocks; the second adds what lies before a block
+    to a row's place in it. No row is sorted or moved.
+    """
+    marked = scan.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
+    )
+    blocks = marked.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")
+    offsets = blocks.select("_file", "_block", (before - F.col("_first")).alias("_offset"))
+    return marked.join(offsets, ["_file", "_block"]).withColumn("ordinal", F.col("_id") + F.col("_offset")).drop("_file", "_block", "_id", "_offset")
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Rows of Parquet files with ``ordinal``, their place from 0 over the files in path order. Only files are sorted."""
     placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from . import schemas, storage
@@ -68,8 +69,13 @@ def board_document(wer: DataFrame, cer: DataFrame, updated: Column, org_logo: st
 
 
 def folded(name: Column) -> Column:
-    """Caseless form: lower case, and a sharp s as two."""
-    return F.replace(F.lower(name), F.lit("ß"), F.lit("ss"))
+    """Caseless form by full case folding; names of ASCII alone need no more than lower case."""
+
+    @F.pandas_udf("string")
+    def fold(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: None if n is None else n.casefold())
+
+    return F.coalesce(fold(F.when(name.rlike(r"[^\x00-\x7F]"), name)), F.lower(name))
 
 
 def model_names(board: DataFrame) -> DataFrame:

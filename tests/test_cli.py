@@ -156,6 +156,8 @@ def test_fetch(spark, tmp_path, monkeypatch, capsys):
     assert row["audio_filepath"].endswith("/validation/audio/a.wav") and storage.exists(spark, row["audio_filepath"])
     assert cli.main(["fetch", "--output-dir", str(tmp_path), "--splits", "validation"], spark) == 0
     assert "manifest exists" in capsys.readouterr().out
+    assert cli.main(["fetch", "--output-dir", str(tmp_path), "--splits", "validation,test"], spark) == 0
+    assert capsys.readouterr().out.count("manifest exists") == 2
     # A local manifest is what the loader of this data set reads.
     monkeypatch.setenv("CV_DATA_DIR", str(tmp_path))
     assert readers.load_dataset(spark, "cv17", manifest, "").first()["reference_text"] == "anden"
