@@ -25,7 +25,8 @@ are those of largest inner product.
 Cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do those of another length than the commonest (ties: the
 shortest). Rows that repeat an identifier count once, with the smallest vector.
-Null identifiers take no part. With fewer candidates than asked for, all are returned. An
+Null identifiers take no part. With fewer candidates than asked for, all are returned. Ties of score go to
+the smaller identifier. An
 empty table gives no rows. Other columns are ignored, whatever their names.
 """
 

@@ -14,7 +14,9 @@ the number of pieces per shard is a few tens of thousands, not a machine's memor
 
 Cases: null text counts as empty and is one piece of the end id alone. Rows
 that repeat an identifier are pieces of their own; a null identifier stays null.
-Very long texts give many pieces. An empty table gives no rows. Other columns
+Very long texts give many pieces. Pieces of equal length are placed by falling
+identifier, piece and CRC, each into the bin that was filled last of those with the
+same room. An empty table gives no rows. Other columns
 of the input are ignored, whatever their names.
 """
 

@@ -33,6 +33,7 @@ so many, else with several cells a bucket; it is dropped also when a step fails.
 
 Cases: null text is empty. A row without identifier is never a smaller document and loses
 nothing. Rows that repeat an identifier are judged against smaller ones only.
+Of equal strings those of the smallest identifier stay, however often it has them.
 Texts under ``LENGTH`` bytes lose nothing. Very long texts are read whole, a text at a time. An empty table gives no rows. Other
 columns are ignored, whatever their names.
 """
