@@ -20,13 +20,18 @@ SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 _WHOLE_NUMBER = re.compile(r"^\d+$")
 # A single space is its own replacement, so only other runs are matched.
 _LOOSE_SPACE = r" [\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85&&[^ ]][\s\p{Z}\x1c-\x1f\x85]*"
+_SEPARATORS = r"(\p{Nd})[.,]+"
+_PUNCTUATION = r"[\p{P}\p{S}&&[^'’]]+|['’](?:(?<!\p{L}['’])|(?!\p{L}))"
+_LONE_NUMBER = r"(^| )\p{Nd}+( |$)"
+_BEYOND_ASCII = r"[^\x00-\x7F]"
+_FILLER_PAIR = "[eøm]h|hm"
 # Fixed value: hesitations, as whole words.
 FILLERS = r"(?U)\b(?:eh+m*|øh+m*|h+m+|m+h+)\b"
 
 
 def strip_number_separators(text: Column) -> Column:
     """Dots and commas that follow a digit within a numeral go."""
-    return F.regexp_replace(text, r"(\p{Nd})[.,]+", "$1")
+    return F.regexp_replace(text, _SEPARATORS, "$1")
 
 
 def lower(text: Column) -> Column:
@@ -35,7 +40,7 @@ def lower(text: Column) -> Column:
 
 def strip_punctuation(text: Column) -> Column:
     """Punctuation and symbols go; an apostrophe between two letters stays, straightened."""
-    bare = F.regexp_replace(text, r"[\p{P}\p{S}&&[^'’]]+|['’](?:(?<!\p{L}['’])|(?!\p{L}))", "")
+    bare = F.regexp_replace(text, _PUNCTUATION, "")
     return F.translate(bare, "’", "'")
 
 
@@ -55,7 +60,7 @@ def words(text: Column) -> Column:
 
 def strip_fillers(text: Column) -> Column:
     # Every filler holds one of these pairs, which are sooner looked for.
-    return F.when(text.rlike("[eøm]h|hm"), F.regexp_replace(text, FILLERS, " ")).otherwise(text)
+    return F.when(text.rlike(_FILLER_PAIR), F.regexp_replace(text, FILLERS, " ")).otherwise(text)
 
 
 def python_strip(text: Column) -> Column:
@@ -72,22 +77,24 @@ def unicode_form(text: Column, form: str) -> Column:
     def normal(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
-    beyond_ascii = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    beyond_ascii = F.when(text.rlike(_BEYOND_ASCII), text)
     return F.coalesce(normal(beyond_ascii), text)
 
 
+def spelled(text: str | None) -> str | None:
+    """The words of a text, those of digits alone as cardinals."""
+    return None if text is None else " ".join(cardinal(w) if _WHOLE_NUMBER.match(w) else w for w in text.split())
+
+
 def number_words(text: Column) -> Column:
     """Tokens of digits alone as Danish cardinals; tokens are joined by one space."""
 
     @F.pandas_udf("string")
     def spell(texts: pd.Series) -> pd.Series:
-        def one(t):
-            return None if t is None else " ".join(cardinal(w) if _WHOLE_NUMBER.match(w) else w for w in t.split())
-
-        return texts.map(one)
+        return texts.map(spelled)
 
     joined = collapse_space(text)
-    has_number = F.when(joined.rlike(r"(^| )\p{Nd}+( |$)"), joined)
+    has_number = F.when(joined.rlike(_LONE_NUMBER), joined)
     return F.coalesce(spell(has_number), joined)
 
 

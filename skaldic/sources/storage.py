@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -37,3 +40,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> bool:
 def read_text(spark: SparkSession, path: str) -> str:
     row = spark.read.format("binaryFile").load(path).select("content").first()
     return bytes(row["content"]).decode("utf-8")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="skaldic-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
