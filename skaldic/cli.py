@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import naming, text as T
 from .operators import backends, board, outputs, scoring
-from .sources import archives, readers, schemas, storage, writers
+from .sources import archives, readers, schemas, storage, weights, writers
 
 
 def session() -> SparkSession:
@@ -80,6 +80,8 @@ def evaluate(spark: SparkSession, args) -> int:
     except ValueError as e:
         return fail(str(e))
     params = backends.default_params_b(args.backend, args.params_b)
+    if params is None and storage.exists(spark, args.model):
+        params = weights.params_b(spark, args.model)
     if params is None:
         return fail("the parameter count is unknown; pass --params-b")
 

@@ -11,9 +11,9 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import naming, text as T
+from ..functions import naming, sql, text as T
 from ..operators import backends, board, lookup, outputs, scoring
-from ..sources import readers, writers
+from ..sources import readers, storage, waveforms, weights, writers
 from ..sources.readers import spread, table
 
 WORDS_PER_UTTERANCE = 40
@@ -445,6 +445,49 @@ def frontmatter(spark, sf_dir):
     return rows.select("doc_id", readers.split_frontmatter(F.col("t")).alias("s")).select("doc_id", "s.header", "s.body")
 
 
+def waveform_load(spark, sf_dir):
+    """The bytes of every text as sound at 8 kHz, at twice that rate: every second sample is an old one."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    files = docs.select("doc_id", waveforms.container(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 8000).alias("content"))
+    waves = waveforms.waveforms(files, "doc_id", target=16000)
+    old = F.filter("samples", lambda x, i: i % 2 == 0)
+    level = F.aggregate(F.transform(old, lambda x: F.round(x * 128).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return waves.select("doc_id", F.size("samples").cast("long").alias("n"), level.alias("level")).groupBy("doc_id").agg(F.sum("n").alias("n_samples"), F.sum("level").alias("level"))
+
+
+PARTS_PER_FILE = 65_536
+
+
+def weight_parameters(spark, sf_dir):
+    """Brands as models whose tensors are parts, written as headers of weight files and counted from these."""
+    shapes = table(spark, sf_dir, "part").select(
+        F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-").alias("brand"), F.floor(F.col("p_partkey") / PARTS_PER_FILE).alias("shard"),
+        F.concat(F.lit("p"), F.col("p_partkey")).alias("name"), F.array(F.col("p_size").cast("long"), F.pmod("p_partkey", F.lit(4096)).cast("long") + 1).alias("shape"),
+    )
+    path = F.concat("brand", F.lit("/model-"), "shard", F.lit("-of-9.safetensors"))
+    folder = storage.shared_folder(spark, "weights")
+    weights.write_headers(weights.header_of(shapes, "brand", "shard").withColumn("path", path), folder).count()
+    found = weights.parameters(weights.weight_files(spark, folder))
+    return found.select(F.regexp_extract("folder", "([^/]*)$", 1).alias("brand"), "n_tensors", "n_params", "params_b")
+
+
+def sql_word_rates(spark, sf_dir):
+    """Word and character rates of one model, as a statement."""
+    sql.register(spark)
+    return spark.sql(
+        """WITH n AS (SELECT dataset, normalise(reference, NULL, false, false) AS r, normalise(hypothesis, NULL, false, false) AS h FROM {rows})
+        SELECT dataset, percent(sum(word_edits(r, h)), sum(word_count(r))) AS wer, percent(sum(char_edits(r, h)), sum(char_length(r))) AS cer
+        FROM n WHERE r <> '' GROUP BY dataset""",
+        rows=transcripts(spark, sf_dir, ("m_sub",)),
+    )
+
+
+def sql_clip_rows(spark, sf_dir):
+    """A data set's loader as a table function."""
+    sql.register(spark)
+    return spark.sql("SELECT * FROM clip_rows(TABLE (SELECT * FROM {rows}), 'cv17', 0)", rows=_source_rows(spark, sf_dir))
+
+
 # --- speed and backends
 
 def _seconds(spark, sf_dir):
@@ -484,7 +527,7 @@ QUERIES = [
     backfill_access, missing_speed, board_rank, two_boards, exclude_then_rank, link_parse, model_links, slugify, size_from_name,
     official_size, substring_lookup, archive_choice, model_names, dataset_card, outputs_union, combined_alias, repair_hypothesis,
     repair_counts, cap_before_filter, cap_after_filter, first_nonblank_text, last_clip_wins, frontmatter, speed_ratio, rtf,
-    stub_backend, full_board,
+    stub_backend, full_board, waveform_load, weight_parameters, sql_word_rates, sql_clip_rows,
 ]
 
 
@@ -732,6 +775,14 @@ def oracle_sql() -> dict[str, str]:
         "first_nonblank_text": f"WITH {_SOURCE_ROWS} SELECT * FROM found WHERE reference_text IS NOT NULL",
         "last_clip_wins": "SELECT max(event_id) AS ordinal, 'u' || user_id AS path, arg_max(event_type, event_id) AS text FROM events GROUP BY user_id",
         "frontmatter": "SELECT doc_id, 'id: ' || doc_id AS header, text AS body FROM documents",
+        "waveform_load": """WITH h AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, string_split(lower(hex(encode(coalesce(text, '')))), '') AS d FROM documents)
+            SELECT doc_id, CAST(sum(2 * n) AS BIGINT) AS n_samples, CAST(sum(coalesce(list_sum(list_transform(d, lambda c, i: instr('123456789abcdef', c) * CASE WHEN c <> '' AND i % 2 = 1 THEN 16 WHEN c <> '' THEN 1 ELSE 0 END)), 0) - 128 * n) AS BIGINT) AS level
+            FROM h GROUP BY doc_id""",
+        "weight_parameters": f"""SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g') AS brand, count(*) AS n_tensors, CAST(sum(p_size * (p_partkey % 4096 + 1)) AS BIGINT) AS n_params,
+            {_rounded("CAST(sum(p_size * (p_partkey % 4096 + 1)) AS DOUBLE) / 1000000000", 3)} AS params_b FROM part GROUP BY ALL""",
+        "sql_word_rates": f"""{_edits(("m_sub",))} SELECT dataset, CAST(sum(word_edits) AS DOUBLE) / sum(n_words) * 100.0 AS wer,
+            CAST(sum(char_edits) AS DOUBLE) / sum(n_chars) * 100.0 AS cer FROM e GROUP BY dataset""",
+        "sql_clip_rows": f"WITH {_SOURCE_ROWS} SELECT * FROM found WHERE reference_text IS NOT NULL",
         "speed_ratio": f"SELECT *, CASE WHEN infer_s > 0 THEN {_rounded('audio_s / infer_s', 1)} END AS speed_x FROM ({_SPEED})",
         "rtf": f"SELECT event_type, CASE WHEN audio_s > 0 THEN infer_s / audio_s ELSE CAST('nan' AS DOUBLE) END AS rtf FROM ({_SPEED})",
         "stub_backend": f"WITH {_UTTERANCES} SELECT dataset, id, id AS hypothesis FROM utt",

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.rounding import exact_round
+from . import storage
 
 HEADER = "map<string, struct<dtype: string, shape: array<bigint>, data_offsets: array<bigint>>>"
 # The format's limit on a header, the key that is no tensor, names of the one file and of its shards.
@@ -93,6 +94,14 @@ def parameters(files: DataFrame) -> DataFrame:
     return sums.withColumn("params_b", exact_round(F.col("n_params").cast("double") / 1e9, 3))
 
 
+def params_b(spark: SparkSession, folder: str) -> float | None:
+    """The count of the model in ``folder`` itself, in thousands of millions; None if it has no weights that can be read."""
+    pattern = f"{folder.rstrip('/')}/*.safetensors"
+    if not storage.glob(spark, pattern):
+        return None
+    return parameters(weight_files(spark, pattern)).select("params_b").first()["params_b"]
+
+
 def header_of(shapes: DataFrame, *keys: str) -> DataFrame:
     """``keys`` with ``header`` for rows of (keys, name, shape) of 32-bit tensors laid end to end in the order of their names.
 

@@ -50,3 +50,11 @@ def test_round_trip(spark, tmp_path):
     assert [(r["name"], r["shape"], r["n_params"]) for r in names] == [(f"t{i}", [i, 2], 2 * i) for i in range(1, 9)] + [("x", [], 1)]
     head = json.loads(read.filter("path like '%/m/%'").first()["header"])
     assert head["t2"]["data_offsets"] == [8, 24] and head["t8"]["data_offsets"][1] == 4 * 72
+
+
+def test_of_one_folder(spark, tmp_path):
+    put(tmp_path / "m", {"model.safetensors": blob({"w": ("F16", [50_000, 1_000])})})
+    put(tmp_path / "m" / "draft", {"model.safetensors": blob({"w": ("F16", [9_000_000])})})
+    assert weights.params_b(spark, f"{tmp_path}/m") == 0.05
+    put(tmp_path / "none", {"config.json": b"{}"})
+    assert weights.params_b(spark, f"{tmp_path}/none") is None
