@@ -303,16 +303,25 @@ def fetch(spark: SparkSession, args) -> int:
     archive = args.tarball or archives.find_archive(spark, args.output_dir, ARCHIVES)
     if not archive or not storage.exists(spark, archive):
         return fail("no archive; pass --tarball")
+    todo = []
     for split in dict.fromkeys(s.strip() for part in args.splits for s in part.split(",") if s.strip()):
         manifest = f"{args.output_dir}/{split}/{split}_manifest.jsonl"
         if storage.exists(spark, manifest) and not args.force:
             print(f"[{split}] manifest exists: {manifest}")
-            continue
-        members = archives.read_members(spark, archive)
-        found = archives.clips(members, archives.split_table(spark, archive, split), f"{os.path.abspath(args.output_dir)}/{split}/audio")
-        counts = archives.extract_counts(found).first()
+        else:
+            todo.append((split, manifest))
+    if not todo:
+        return 0
+    # The archive is read once for all splits; contents only travel if a split's table is too large for Spark to broadcast.
+    staged = storage.shared_folder(spark, "archive")
+    members = archives.stage(spark, archive, f"{staged}/members")
+    for k, (split, manifest) in enumerate(todo):
+        archives.split_table(members, split).write.parquet(f"{staged}/table{k}")
+        found = archives.clips(members, spark.read.parquet(f"{staged}/table{k}"), f"{os.path.abspath(args.output_dir)}/{split}/audio")
+        found, counts = archives.observed_counts(found)
         archives.write_clips(found, "common_voice_da").write.mode("overwrite").json(manifest)
-        print(f"[{split}] {counts['n_extracted']} extracted, {counts['n_skipped']} skipped")
+        print(f"[{split}] {counts.get['n_extracted']} extracted, {counts.get['n_skipped']} skipped")
+    storage.remove(spark, staged)
     return 0
 
 

@@ -8,14 +8,15 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.text import python_strip
-from . import storage
-from .readers import last_of_each, split_alias, wav_seconds
+from . import storage, waveforms
+from .readers import last_of_each, split_alias
 
 MEMBER = "archive string, ordinal long, path string, content binary"
 BATCH_BYTES = 16 << 20
+STAGED_MEMBERS = 1024
 
 
 def find_archive(spark: SparkSession, folder: str, patterns: list[str]) -> str | None:
@@ -60,6 +61,19 @@ def read_members(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
     return listed.mapInPandas(run, MEMBER)
 
 
+def stage(spark: SparkSession, path: str, folder: str, names: str = "*") -> DataFrame:
+    """``read_members`` written once below ``folder`` and read back, with ``size``: what every later step reads.
+
+    A stream of a compressed archive can't be split, so one task reads it, once.
+    The table it leaves has files of few members and blocks of bounded bytes,
+    so all steps after it run in many tasks, and those that look for names or
+    sizes don't read contents. A job that loses an executor reads that task's archive anew.
+    """
+    rows = read_members(spark, path, names).withColumn("size", F.octet_length("content").cast("long"))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", STAGED_MEMBERS).option("parquet.block.size", BATCH_BYTES).option("compression", "zstd").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def open_stream(path: str):
     """A stream of bytes from any file system that Arrow knows."""
     from pyarrow import fs
@@ -91,26 +105,26 @@ def clip_table(tables: DataFrame, content: str = "content") -> DataFrame:
     return last_of_each(fields.filter("path != '' and text != ''"))
 
 
-def split_table(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """The clip table of a split, from the archives at ``path``."""
-    name = spark.range(1).select(split_alias(F.lit(split)).alias("s")).first()["s"]
-    return clip_table(read_members(spark, path, f"{name}.tsv"))
+def split_table(members: DataFrame, split: str) -> DataFrame:
+    """The clip table of a split, which is one of the archives' ``members``."""
+    wanted = F.concat(split_alias(F.lit(split)), F.lit(".tsv"))
+    return clip_table(members.filter(F.regexp_extract("path", "([^/]*)$", 1) == wanted))
 
 
 def clips(members: DataFrame, table: DataFrame, folder: str) -> DataFrame:
     """Members that the table names, as manifest rows: audio_filepath, text, duration, dataset, usable.
 
     A clip whose length can't be read is not usable; its file's name is the
-    clip's with the extension ``wav``. Only RIFF audio is decoded here.
+    clip's with the extension ``wav``, and so is its content: one channel of
+    16-bit samples at 16 kHz. Only containers of plain samples are decoded here.
     """
     base = F.regexp_extract("path", "([^/]*)$", 1)
     named = members.withColumn("clip", base).join(table.select(F.col("path").alias("clip"), "text"), "clip")
-    seconds = wav_seconds(F.col("content"))
     return named.select(
         F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_replace("clip", r"(.)\.[^.]*$", "$1"), F.lit(".wav")).alias("audio_filepath"),
         "text",
-        F.round(seconds, 3).alias("duration"),
-        "content",
+        F.round(waveforms.seconds(F.col("content")), 3).alias("duration"),
+        waveforms.as_pcm(F.col("content")).alias("content"),
     ).withColumn("usable", F.col("duration") > 0)
 
 
@@ -119,6 +133,12 @@ def extract_counts(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if("usable").alias("n_extracted"), F.count_if(~F.col("usable")).alias("n_skipped"))
 
 
+def observed_counts(found: DataFrame) -> tuple[DataFrame, Observation]:
+    """``found`` and its ``extract_counts``, which are known once what follows has run."""
+    counts = Observation()
+    return found.observe(counts, F.count_if("usable").alias("n_extracted"), F.count_if(~F.col("usable")).alias("n_skipped")), counts
+
+
 def write_clips(found: DataFrame, dataset: str) -> DataFrame:
     """Writes the audio of usable clips at their paths, from the tasks that hold it; the manifest rows."""
 

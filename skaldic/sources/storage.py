@@ -50,3 +50,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="skaldic-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``shared_folder`` named and all below it."""
+    fs, made = _resolved(spark, path)
+    fs.delete(made, True)

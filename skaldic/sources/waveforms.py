@@ -13,9 +13,10 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, IntegerType, LongType, StructType
 
 RATE = 16000
 BLOCK = 1 << 17
@@ -209,6 +210,29 @@ def _batch(source: pa.RecordBatch, n_keys: int, rows: list[tuple]) -> pa.RecordB
     return pa.RecordBatch.from_arrays(columns, names=[*source.schema.names[:n_keys], "rate", "n_samples", "start", "samples"])
 
 
+@F.pandas_udf(DoubleType())
+def seconds(content: pd.Series) -> pd.Series:
+    """How long a file's samples last; 0 if they can't be read."""
+    waves = [parse(c) for c in content]
+    return pd.Series([w.n_frames / w.rate if w else 0.0 for w in waves], dtype=float)
+
+
+@F.pandas_udf(BinaryType())
+def as_pcm(content: pd.Series) -> pd.Series:
+    """A file as one of a single channel of 16-bit samples at ``RATE``; null if it can't be read. Louder samples than 1 are cut."""
+
+    def one(data):
+        wave = parse(data)
+        if wave is None:
+            return None
+        wanted = np.concatenate([np.zeros(0), *(signal for _, _, _, signal in _blocks(wave, RATE, BLOCK))])
+        body = np.clip(np.rint(wanted * 2.0**15), -(2**15), 2**15 - 1).astype("<i2").tobytes()
+        head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(body), b"WAVE", b"fmt ", 16, _PCM, 1, RATE, 2 * RATE, 2, 16, b"data", len(body))
+        return head + body
+
+    return pd.Series([one(c) for c in content], dtype=object)
+
+
 def container(payload: Column, rate: int, channels: int = 1, bits: int = 8) -> Column:
     """Bare samples as a file with a header, by built-in expressions."""
     n, frame = F.octet_length(payload), channels * bits // 8

@@ -141,3 +141,16 @@ def test_container(spark):
     for r in frame.select("p", W.container(F.col("p"), 44100, channels=2).alias("c")).collect():
         with wave.open(io.BytesIO(bytes(r["c"]))) as w:
             assert (w.getframerate(), w.getnchannels(), w.getsampwidth(), w.readframes(9)) == (44100, 2, 1, bytes(r["p"]))
+
+
+def test_as_pcm(spark):
+    x = (np.sin(np.arange(3000) / 9) * 20000).astype("<i2")
+    loud = chunks(fmt(3, 1, 16000, 32), (b"data", struct.pack("<3f", 2.0, -2.0, 0.5), None))
+    rows = [(1, pcm(x.tobytes(), 44100)), (2, None), (3, b"noise"), (4, pcm(np.repeat(x, 2).tobytes(), 16000, channels=2)), (5, loud), (6, pcm(b"", 8000))]
+    frame = spark.createDataFrame(rows, "id int, c binary").select("id", W.seconds(F.col("c")).alias("s"), W.as_pcm(F.col("c")).alias("p"))
+    got = {r["id"]: (r["s"], None if r["p"] is None else values(bytes(r["p"]))) for r in frame.collect()}
+    assert got[2] == (0.0, None) and got[3] == (0.0, None) and got[6][0] == 0 and len(got[6][1]) == 0
+    assert got[1][0] == 3000 / 44100
+    assert np.abs(got[1][1] - W.resample(at(x / 2**15), 44100, 16000, 0, W.n_resampled(3000, 44100, 16000))).max() <= 2**-15
+    assert np.array_equal(got[4][1], x / 2**15)
+    assert np.array_equal(got[5][1], [1 - 2**-15, -1, 0.5])
