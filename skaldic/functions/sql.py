@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType
 
-from . import bitparallel, text as T
+from . import edit, text as T
 
 
 def register(spark: SparkSession) -> None:
@@ -46,32 +46,14 @@ def _number_words(texts: pd.Series) -> pd.Series:
     return texts.map(T.spelled)
 
 
-@F.pandas_udf(LongType())
-def _char_edits(references: pd.Series, hypotheses: pd.Series) -> pd.Series:
-    return _distances(references, hypotheses, lambda r, h: (r, h))
+@F.arrow_udf(LongType())
+def _char_edits(references: pa.Array, hypotheses: pa.Array) -> pa.Array:
+    return edit.char_distances(references, hypotheses)
 
 
-@F.pandas_udf(LongType())
-def _word_edits(references: pd.Series, hypotheses: pd.Series) -> pd.Series:
-    return _distances(references, hypotheses, _words_as_characters)
-
-
-def _distances(references: pd.Series, hypotheses: pd.Series, coded) -> pd.Series:
-    here = (references.notna() & hypotheses.notna()).to_numpy()
-    out = pd.Series(pd.NA, index=references.index, dtype="Int64")
-    pairs = [coded(r, h) for r, h in zip(references[here], hypotheses[here], strict=True)]
-    out[here] = bitparallel.distances([r for r, _ in pairs], [h for _, h in pairs])
-    return out
-
-
-def _words_as_characters(reference: str, hypothesis: str) -> tuple[str, str]:
-    """Each word of a pair as one character, past those that are no characters of a text."""
-    known: dict[str, str] = {}
-
-    def code(text):
-        return "".join(known.setdefault(w, chr(len(known) + (0x100 if len(known) < 0xD000 else 0x1000))) for w in text.split(" ") if w)
-
-    return code(reference), code(hypothesis)
+@F.arrow_udf(LongType())
+def _word_edits(references: pa.Array, hypotheses: pa.Array) -> pa.Array:
+    return edit.word_distances(references, hypotheses)
 
 
 class ClipRows:
