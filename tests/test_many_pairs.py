@@ -47,6 +47,32 @@ def test_a_band_gives_the_distance_or_a_bound_that_it_does_not_hold():
             assert found == wanted if bitparallel._bends(wanted, len(a) - len(b)) <= k else found >= wanted
 
 
+def test_diagonals_give_the_distance_or_nothing():
+    rng = random.Random(3)
+    for t in range(600):
+        a = "".join(rng.choice("abc"[: 2 + t % 2]) for _ in range(rng.randrange(0, 40)))
+        b = ["".join(c for c in a if rng.random() > 0.2), edited(rng, a, 0.3, "abc"), a[7:] + "ab"][t % 3]
+        wanted = plain_distance(a, b)
+        assert bitparallel._by_diagonals(a, b, 10_000) == wanted
+        assert bitparallel._by_diagonals(a, b, 0) == (wanted if wanted == abs(len(a) - len(b)) else None)
+
+
+def test_long_texts_with_parts_left_out_and_a_few_other_edits_need_no_columns(monkeypatch):
+    def columns(*_):
+        raise AssertionError("columns of a long text")
+
+    monkeypatch.setattr(bitparallel, "_in_band", columns)
+    monkeypatch.setattr(bitparallel, "_as_one_number", columns)
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    left_out = "".join(c for c in text if c != "d")
+    assert bitparallel.distances([text, left_out], [left_out, text]).tolist() == [text.count("d")] * 2
+    other = text[:30_000] + "xyz" + text[30_000:60_000] + "#" + text[60_001:99_000] + text[99_010:]
+    assert bitparallel.distances([text], [other]).tolist() == [14]
+    words = " ".join(text[:40_000])
+    assert bitparallel.word_distances(pa.array([words]), pa.array([words.replace("d", "")])).tolist() == [words.count("d")]
+
+
 TEXTS = [
     "", " ", None, "Plain words", "a  b\tc\x85d e\x1cf", "1.000,50 2.,x '90 rock'n'roll ''a' o’n l’", "½ ² ªh Ⅳ", "Øhm, ehm eh'm hmm h²m MHM øh", "12 007 3,5", "€5 – “ja”…​nej",
     "İstanbul ẞ ΣΑΣ", "á éh h́m", "x̀'y", "12٠ ٣", "a'-b a-'b 'a' b'", "THE END", " a ", "日本 語'語", "_under_ a_b $a+b=c",
