@@ -1,8 +1,8 @@
 """The normaliser, the distances and the loaders for statements: ``register(spark)``, then ``SELECT normalise(text, 'NFC', true, false) ...``.
 
 Steps that Spark has are SQL functions, which the optimiser unfolds into the
-statement; only Unicode forms, number words and distances are Arrow functions,
-and they see only the rows that need them.
+statement; only normal forms by distinct words, Unicode forms, number words and distances
+are Arrow functions, and those of distances see only the pairs that differ.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import unicodedata
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType
 
@@ -27,6 +28,7 @@ def register(spark: SparkSession) -> None:
     ``char_edits(reference, hypothesis)``, ``percent(edits, units)`` and the table
     function ``clip_rows(TABLE (...), slug, cap)``. Nulls give null.
     """
+    spark.udf.register("_by_words", _by_words)
     spark.udf.register("_unicode_form", _unicode_form)
     spark.udf.register("_number_words", _number_words)
     spark.udf.register("_word_edits", _word_edits)
@@ -36,6 +38,17 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
 
+@F.arrow_udf(StringType())
+def _by_words(texts: pa.Array, numbers: pa.Array, fillers: pa.Array) -> pa.Array:
+    out = pa.nulls(len(texts), pa.string())
+    flags = [pc.fill_null(f, False) for f in (numbers, fillers)]
+    for wanted in ((False, False), (False, True), (True, False), (True, True)):
+        here = pc.and_(*[pc.equal(f, w) for f, w in zip(flags, wanted, strict=True)])
+        if pc.any(here).as_py():
+            out = pc.replace_with_mask(out, here, T._by_words(texts.filter(here), *wanted))
+    return out
+
+
 @F.pandas_udf(StringType())
 def _unicode_form(texts: pd.Series, forms: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(texts, forms, strict=True)], dtype=object)
@@ -53,7 +66,7 @@ def _char_edits(references: pa.Array, hypotheses: pa.Array) -> pa.Array:
 
 @F.arrow_udf(LongType())
 def _word_edits(references: pa.Array, hypotheses: pa.Array) -> pa.Array:
-    return edit.word_distances(references, hypotheses)
+    return edit.word_distances(*[pc.binary_join(pc.utf8_split_whitespace(t), " ") for t in (references, hypotheses)])
 
 
 class ClipRows:
@@ -100,14 +113,26 @@ BODIES = [
     ("_spelled(t STRING, numbers BOOLEAN) RETURNS STRING", "CASE WHEN numbers THEN number_words(t) ELSE t END"),
     ("_unhesitant(t STRING, fillers BOOLEAN) RETURNS STRING", "CASE WHEN fillers THEN strip_fillers(t) ELSE t END"),
     (
-        "normalise(t STRING, form STRING, numbers BOOLEAN, fillers BOOLEAN) RETURNS STRING",
+        "_chain(t STRING, form STRING, numbers BOOLEAN, fillers BOOLEAN) RETURNS STRING",
         "collapse_space(_unhesitant(_spelled(_bare(unicode_form(t, form)), numbers), fillers))",
     ),
+    (
+        "_plain_form(t STRING, form STRING, numbers BOOLEAN, fillers BOOLEAN) RETURNS STRING",
+        "_by_words(CASE WHEN form IS NULL OR form = 'NFC' THEN t END, numbers, fillers)",
+    ),
+    # Texts that the words' forms don't tell pass the chain; others are null to it.
+    (
+        "normalise(t STRING, form STRING, numbers BOOLEAN, fillers BOOLEAN) RETURNS STRING",
+        "coalesce(_plain_form(t, form, numbers, fillers), _chain(CASE WHEN _plain_form(t, form, numbers, fillers) IS NULL THEN t END, form, numbers, fillers))",
+    ),
     ("word_count(t STRING) RETURNS BIGINT", "CAST(size(array_remove(split(collapse_space(t), ' '), '')) AS BIGINT)"),
     (
         "word_edits(reference STRING, hypothesis STRING) RETURNS BIGINT",
-        "CASE WHEN reference = hypothesis THEN 0 ELSE _word_edits(collapse_space(reference), collapse_space(hypothesis)) END",
+        "CASE WHEN reference = hypothesis THEN 0 ELSE _word_edits(CASE WHEN reference <> hypothesis THEN reference END, CASE WHEN reference <> hypothesis THEN hypothesis END) END",
+    ),
+    (
+        "char_edits(reference STRING, hypothesis STRING) RETURNS BIGINT",
+        "CASE WHEN reference = hypothesis THEN 0 ELSE _char_edits(CASE WHEN reference <> hypothesis THEN reference END, CASE WHEN reference <> hypothesis THEN hypothesis END) END",
     ),
-    ("char_edits(reference STRING, hypothesis STRING) RETURNS BIGINT", "CASE WHEN reference = hypothesis THEN 0 ELSE _char_edits(reference, hypothesis) END"),
     ("percent(edits BIGINT, units BIGINT) RETURNS DOUBLE", "CASE WHEN units > 0 THEN CAST(edits AS DOUBLE) / units * 100.0 END"),
 ]

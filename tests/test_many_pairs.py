@@ -73,6 +73,18 @@ def test_long_texts_with_parts_left_out_and_a_few_other_edits_need_no_columns(mo
     assert bitparallel.word_distances(pa.array([words]), pa.array([words.replace("d", "")])).tolist() == [words.count("d")]
 
 
+def test_few_pairs_take_no_steps_of_many(monkeypatch):
+    def steps(*_):
+        raise AssertionError("side by side")
+
+    monkeypatch.setattr(bitparallel, "_side_by_side", steps)
+    monkeypatch.setattr(bitparallel, "_in_narrow_bands", steps)
+    rng = random.Random(6)
+    left = ["".join(rng.choice("abcd") for _ in range(n)) for n in (70, 300, 310, 800)]
+    right = [edited(rng, t, 0.6, "abcd") for t in left]
+    assert bitparallel.distances(left, right).tolist() == [plain_distance(*p) for p in zip(left, right)]
+
+
 TEXTS = [
     "", " ", None, "Plain words", "a  b\tc\x85d e\x1cf", "1.000,50 2.,x '90 rock'n'roll ''a' o’n l’", "½ ² ªh Ⅳ", "Øhm, ehm eh'm hmm h²m MHM øh", "12 007 3,5", "€5 – “ja”…​nej",
     "İstanbul ẞ ΣΑΣ", "á éh h́m", "x̀'y", "12٠ ٣", "a'-b a-'b 'a' b'", "THE END", " a ", "日本 語'語", "_under_ a_b $a+b=c",

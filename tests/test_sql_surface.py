@@ -29,6 +29,17 @@ def test_normalise(spark, rows, form, numbers, fillers):
     assert sorted(map(tuple, got)) == sorted(map(tuple, wanted))
 
 
+def test_normalise_by_distinct_words_with_flags_of_rows(spark, rows):
+    flags = "id % 2 = 0 AS n, CASE WHEN id > 1 THEN id % 3 = 0 END AS f"
+    got = spark.sql(f"SELECT id, n, f, normalise(t, 'NFC', n, f) AS x FROM (SELECT *, {flags} FROM sql_surface_rows)")
+    assert "_by_words" in got._jdf.queryExecution().executedPlan().toString()
+    for n in (True, False):
+        for f in (True, False):
+            wanted = rows.select("id", T.normalise(F.col("t"), unicode="NFC", numbers=n, fillers=f).alias("x")).collect()
+            here = [(r["id"], r["x"]) for r in got.collect() if r["n"] == n and bool(r["f"]) == f]
+            assert set(here) <= set(map(tuple, wanted))
+
+
 def test_distances(spark, rows):
     r, h = F.col("t"), F.col("u")
     rw, hw = T.words(T.collapse_space(r)), T.words(T.collapse_space(h))
