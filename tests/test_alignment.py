@@ -98,3 +98,16 @@ def test_first_key(spark):
         assert (r["key"], r["value"]) == (min(hits)[1:] if hits else (None, None))
     none = spark.createDataFrame([], "key string, value string, position int")
     assert lookup.first_key(found.select("name"), none).filter("key IS NULL").count() == len(names)
+
+
+def test_keys_that_lie_in_no_name_go_first_and_nothing_runs_early(spark):
+    keys = spark.createDataFrame([(f"key{k}x", k, k) for k in range(500)] + [("abc", -1, 7), ("næste", -2, 3)], "key string, value int, position int")
+    names = spark.createDataFrame([("zz-KEY77X-abc",), ("Næste",), ("key4",)], "name string")
+    grams = lookup._cut(names.withColumnRenamed("name", "_name")).select("width", "gram").distinct()
+    assert {r["key"] for r in lookup.possible(keys, grams).collect()} == {"key77x", "abc", "næste"}
+    spark.sparkContext.setJobGroup("lookup built", "")
+    found = lookup.first_key(names, keys)
+    early = list(spark.sparkContext.statusTracker().getJobIdsForGroup("lookup built"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not early
+    assert sorted(map(tuple, found.collect())) == [("Næste", "næste", -2), ("key4", None, None), ("zz-KEY77X-abc", "abc", -1)]
